@@ -1,0 +1 @@
+"""Empty on purpose: every source of this domain is read whole, so no stream job is defined."""
