@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from scholarlens.session import written
+
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     how: str = "inner") -> DataFrame:
@@ -38,10 +40,14 @@ def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
     rows = F.count("*") if weight is None else F.sum(weight)
     distinct = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         rows.alias("n_rows"), *[c.alias(n) for n, c in (extra or {}).items()])
+    # Written once: the counts are read for the cut points, for the bucket sizes and again for
+    # the running sums.
+    distinct = written(distinct, "distinct")
     marks = [i / buckets for i in range(1, buckets)]
-    cuts = distinct.agg(F.percentile_approx(value, marks, 2000)).scalar()
-    distinct = distinct.withColumn("_bucket", F.size(
-        F.filter(cuts, lambda cut: cut < F.col(value))))
+    cuts = distinct.agg(F.percentile_approx(value, marks, 2000)).first()[0] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    distinct = distinct.withColumn("_bucket", F.size(F.filter(edges, lambda c: c < F.col(value)))
+                                   if cuts else F.lit(0))
     # At most ``buckets`` rows per group from here to the offsets.
     in_group = Window.partitionBy(*groups)
     sizes = distinct.groupBy(*groups, "_bucket").agg(F.sum("n_rows").alias("_size"))
@@ -74,12 +80,12 @@ def stack_measures(df: DataFrame, measures: Sequence[str], groups: Sequence[str]
 
 
 def quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-              groups: Sequence[str] = ()) -> DataFrame:
+              groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics.
 
     Also yields ``n``, ``minimum``, ``maximum`` and ``mean`` of the non-null values.
     """
-    ranked = cumulative_counts(df, value, groups)
+    ranked = cumulative_counts(df, value, groups, weight=weight)
     last = F.col("before") + F.col("n_rows")
     aggs = [F.max("total").alias("n"), F.min(value).alias("minimum"), F.max(value).alias("maximum"),
             (F.sum(F.col(value) * F.col("n_rows")) / F.max("total")).alias("mean")]
@@ -119,29 +125,35 @@ def median_iqr(df: DataFrame, group: str, measures: Sequence[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (extremes inside the fences) and number of outliers."""
-    low, high = box_fences(df, value, reach)
+    counted = written(df.where(F.col(value).isNotNull()).groupBy(value).agg(
+        F.count("*").alias("n")), "values")
+    q = _quartiles(counted, value)
+    low, high = _fences(q, reach)
     inside = F.col(value).between(low, high)
-    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    ends = df.agg(F.struct(
-        F.min(F.when(inside, F.col(value))).alias("low"),
-        F.max(F.when(inside, F.col(value))).alias("high"),
-        F.count_if(~inside).alias("out"))).scalar()
-    return q.select("n", ends["low"].alias("whisker_low"), "q1", "median", "q3",
-                    ends["high"].alias("whisker_high"), ends["out"].alias("n_outliers"))
-
-
-def box_fences(df: DataFrame, value: str, reach: float = 1.5) -> tuple[Column, Column]:
-    """Lower and upper fence as scalar columns."""
-    q = quantiles(df, value, {"q1": 0.25, "q3": 0.75}).select(F.struct("q1", "q3")).scalar()
-    width = (q["q3"] - q["q1"]) * reach
-    return q["q1"] - width, q["q3"] + width
+    return counted.agg(
+        F.sum("n").alias("n"), F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+        F.lit(q["q1"]).alias("q1"), F.lit(q["median"]).alias("median"), F.lit(q["q3"]).alias("q3"),
+        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"))
 
 
 def box_outliers(df: DataFrame, value: str, reach: float = 1.5) -> DataFrame:
-    low, high = box_fences(df, value, reach)
+    """Rows outside the fences."""
+    counted = df.groupBy(value).agg(F.count("*").alias("n"))
+    low, high = _fences(_quartiles(counted, value), reach)
     return df.where(~F.col(value).between(low, high))
 
 
+def _quartiles(counted: DataFrame, value: str) -> Row:
+    """The three quartiles: one row of numbers on the driver."""
+    return quantiles(counted, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="n").first()
+
+
+def _fences(q: Row, reach: float) -> tuple[float, float]:
+    width = (q["q3"] - q["q1"]) * reach
+    return q["q1"] - width, q["q3"] + width
+
+
 def rank_sum_test(df: DataFrame, value: str, group: str, first) -> DataFrame:
     """Two-sample rank-sum test: W of the first level, z with tie and continuity correction.
 
@@ -172,8 +184,8 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     Rows are counted per (x, y) pair before ranks are joined on, so a value shared by a third
     of the rows is one row per partner value by then.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
-        F.count("*").alias("n_pair"))
+    pairs = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(
+        F.count("*").alias("n_pair")), "pairs")
 
     def ranked(col: str) -> DataFrame:
         counted = cumulative_counts(pairs, col, weight="n_pair")

@@ -22,8 +22,9 @@ def build_session(app: str = "scholarlens", master: str | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
-        builder = builder.config("spark.ui.showConsoleProgress", "false")
+        builder = (builder.master(master).config("spark.driver.memory", "8g")
+                   .config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

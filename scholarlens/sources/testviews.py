@@ -277,7 +277,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id, year, topic,
                (sum(CASE WHEN length(term) % {TOPICS} + 1 = topic THEN cnt ELSE 0 END) + 1)
                / CAST(sum(cnt) + {TOPICS} AS DOUBLE) AS theta
-        FROM v_tok, (SELECT unnest(range(1, {TOPICS + 1})) AS topic) GROUP BY 1, 2, 3"""),
+        FROM v_tok, (SELECT CAST(unnest(range(1, {TOPICS + 1})) AS INTEGER) AS topic) GROUP BY 1, 2, 3"""),
     "v_beta": (("v_tok",), f"""
         SELECT level, topic, term, ln(w / CAST(sum(w) OVER (PARTITION BY level, topic) AS DOUBLE))
                    AS logbeta
@@ -285,7 +285,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                      cnt * CASE WHEN length(term) % {TOPICS} + 1 = topic THEN 10 ELSE 1 END AS w
               FROM (SELECT CASE WHEN year > {RECENT_DOC} THEN 2 ELSE 1 END AS level, term,
                            CAST(sum(cnt) AS BIGINT) AS cnt FROM v_tok GROUP BY 1, 2),
-                   (SELECT unnest(range(1, {TOPICS + 1})) AS topic))"""),
+                   (SELECT CAST(unnest(range(1, {TOPICS + 1})) AS INTEGER) AS topic))"""),
 }
 
 
