@@ -1,9 +1,9 @@
 """Ranks, quantiles and rank tests without a single-task sort.
 
 Everything rests on :func:`cumulative_counts`: rows are first aggregated to distinct values,
-values are put into buckets by sketched cut points, bucket sums give offsets, and a running
-sum inside a bucket gives the exact number of rows below each value. The cut points decide
-only how work is spread; the counts are exact for any cuts.
+the values are range-partitioned, partition sums give offsets, and a running sum inside a
+partition gives the exact number of rows below each value. The range bounds decide only how
+work is spread; the counts are exact for any bounds.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
-                      extra: Mapping[str, Column] | None = None, weight: str | None = None,
-                      buckets: int = 64) -> DataFrame:
+                      extra: Mapping[str, Column] | None = None,
+                      weight: str | None = None) -> DataFrame:
     """One row per group and distinct non-null value.
 
     Columns: groups, value, ``n_rows`` (rows with the value), ``before`` (rows of the group
@@ -40,25 +40,20 @@ def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
     rows = F.count("*") if weight is None else F.sum(weight)
     distinct = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         rows.alias("n_rows"), *[c.alias(n) for n, c in (extra or {}).items()])
-    # Written once: the counts are read for the cut points, for the bucket sizes and again for
-    # the running sums.
-    distinct = written(distinct, "distinct")
-    marks = [i / buckets for i in range(1, buckets)]
-    cuts = distinct.agg(F.percentile_approx(value, marks, 2000)).first()[0] or []
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    distinct = distinct.withColumn("_bucket", F.size(F.filter(edges, lambda c: c < F.col(value)))
-                                   if cuts else F.lit(0))
-    # At most ``buckets`` rows per group from here to the offsets.
+    # Written, so that every reader below sees the same partition number on a row.
+    ranged = written(distinct.repartitionByRange(*groups, value)
+                     .withColumn("_part", F.spark_partition_id()), "ranged")
+    # One row per group and range partition from here to the offsets.
     in_group = Window.partitionBy(*groups)
-    sizes = distinct.groupBy(*groups, "_bucket").agg(F.sum("n_rows").alias("_size"))
+    sizes = ranged.groupBy(*groups, "_part").agg(F.sum("n_rows").alias("_size"))
     sizes = sizes.select(
-        *groups, "_bucket",
-        (F.sum("_size").over(in_group.orderBy("_bucket")) - F.col("_size")).alias("_offset"),
+        *groups, "_part",
+        (F.sum("_size").over(in_group.orderBy("_part")) - F.col("_size")).alias("_offset"),
         F.sum("_size").over(in_group).alias("total"))
-    placed = _join_null_safe(distinct, sizes, [*groups, "_bucket"])
-    in_bucket = Window.partitionBy(*groups, "_bucket").orderBy(value)
-    below = F.sum("n_rows").over(in_bucket) - F.col("n_rows")
-    return placed.withColumn("before", F.col("_offset") + below).drop("_bucket", "_offset")
+    placed = _join_null_safe(ranged, sizes, [*groups, "_part"])
+    in_part = Window.partitionBy(*groups, "_part").orderBy(value)
+    below = F.sum("n_rows").over(in_part) - F.col("n_rows")
+    return placed.withColumn("before", F.col("_offset") + below).drop("_part", "_offset")
 
 
 def mid_rank() -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.functions.fixed import STOPWORDS
 from scholarlens.functions.stem import stem_words
+from scholarlens.session import written
 
 
 def tokens(docs: DataFrame, text: str, keep: Sequence[str] = ("doc_id",),
@@ -85,7 +86,6 @@ def threshold_sweep(counts: DataFrame, first: int, last: int, step: int) -> Data
               .join(first_lost_at(lost_docs).groupBy("at").agg(F.sum("docs").alias("docs")),
                     "at", "full"))
     grid = spark.range(first, last + 1, step).select(F.col("id").alias("threshold"))
-    from pyspark.sql import Window
     # One row per grid value.
     up_to = Window.orderBy("threshold")
     return grid.join(joined, F.col("threshold") == F.col("at"), "left").select(
@@ -97,14 +97,15 @@ def threshold_sweep(counts: DataFrame, first: int, last: int, step: int) -> Data
 def vocabulary(counts: DataFrame) -> DataFrame:
     """Dense term ids from 1 in term order, with document frequency and tokens.
 
-    Ids come from offsets of hash-free buckets: the first two letters order the buckets, a
-    running count orders the terms inside one.
+    Terms are range-partitioned and written with their partition number; a term's id is the
+    size of the earlier partitions plus its place in its own.
     """
-    from pyspark.sql import Window
-    freq = term_frequencies(counts).withColumn("_head", F.substring("term", 1, 2))
-    heads = freq.groupBy("_head").agg(F.count("*").alias("_n"))
-    heads = heads.select("_head", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n"))
+    ranged = written(term_frequencies(counts).repartitionByRange("term")
+                     .withColumn("_part", F.spark_partition_id()), "terms")
+    # One row per range partition.
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
                          .alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_head").orderBy("term"))
-    return freq.join(heads, "_head").select(
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("term"))
+    return ranged.join(sizes, "_part").select(
         (F.col("_offset") + place).cast("int").alias("term_id"), "term", "df", "tokens")

@@ -5,8 +5,10 @@ theta: (doc_id, year, topic, theta). beta: ([level,] topic, term, logbeta).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,12 +109,13 @@ def topic_report(theta: DataFrame, beta: DataFrame, docs: DataFrame, n_docs: int
                  doc_columns: Sequence[str] = ()) -> DataFrame:
     """Best documents per topic with rounded share, metadata and the topic's word list.
 
-    ``docs`` is keyed by ``doc_id``. Best documents are found before the metadata join, which
-    therefore moves only n_docs rows per topic against the document table.
+    ``docs`` is keyed by ``doc_id``. Best documents are found first: n_docs rows per topic, which
+    are broadcast to the document table so that it is scanned in place.
     """
     best = top_documents(theta.select(*keys, "doc_id", "theta"), n_docs, keys)
     words = word_lists(beta, n_words, keys=keys)
-    return (best.join(docs.select("doc_id", *doc_columns), "doc_id").join(words, list(keys), "left")
+    return (docs.select("doc_id", *doc_columns).join(F.broadcast(best), "doc_id")
+            .join(F.broadcast(words), list(keys), "left")
             .select(*keys, "rank", "doc_id", *doc_columns, F.round("theta", 2).alias("theta"),
                     "top_words"))
 
@@ -143,18 +146,33 @@ def temporal_index(theta: DataFrame, recent_after: int, exclude: Sequence[int] =
 def topic_correlations(theta: DataFrame, cutoff: float = 0.01) -> DataFrame:
     """Edges (src, dst, corr) of topics whose document shares correlate above the cutoff.
 
-    One row per document carries its share vector; every pair sum comes from that single pass.
-    The number of topics sets the number of sums, not the number of documents.
+    Documents are read once. A task adds up cross products of its share vectors and returns one
+    row per topic; only sums of the size topics x topics reach the driver.
     """
-    topics = theta.select("topic").distinct()
-    ids = topics.agg(F.array_sort(F.collect_set("topic"))).first()[0]
+    ids = sorted(r[0] for r in theta.select("topic").distinct().collect())
+    k = len(ids)
     vectors = theta.groupBy("doc_id").agg(
-        *[F.max(F.when(F.col("topic") == t, F.col("theta"))).alias(f"t{t}") for t in ids])
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]]
-    wide = vectors.agg(*[F.corr(f"t{a}", f"t{b}").alias(f"c{a}_{b}") for a, b in pairs])
-    edges = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"),
-                               F.col(f"c{a}_{b}").alias("corr")) for a, b in pairs])
-    return wide.select(F.inline(edges)).where(F.col("corr") > cutoff)
+        F.array_sort(F.collect_list(F.struct("topic", "theta"))).alias("t")).select(
+        F.col("t.theta").alias("v"))
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            if len(batch):
+                x = np.hstack([np.stack(batch["v"].to_numpy()), np.ones((len(batch), 1))])
+                sums += x.T @ x
+        yield pd.DataFrame({"i": np.arange(k + 1), "v": list(sums)})
+
+    partial = vectors.mapInPandas(cross, "i int, v array<double>")
+    total = partial.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(k + 1)])
+    s = total.orderBy("i").drop("i").toPandas().to_numpy()
+    n, mean = s[k, k], s[:k, k] / s[k, k]
+    cov = s[:k, :k] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.diag(cov))
+    edges = [(ids[i], ids[j], float(cov[i, j] / (spread[i] * spread[j])))
+             for i in range(k) for j in range(i + 1, k) if spread[i] * spread[j] > 0]
+    return theta.sparkSession.createDataFrame(edges, "src int, dst int, corr double").where(
+        F.col("corr") > cutoff)
 
 
 def topic_vertices(theta: DataFrame, recent_after: int, exclude: Sequence[int] = (),

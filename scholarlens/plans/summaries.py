@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.functions import columns as C
 from scholarlens.functions.fixed import BASIS_CLASSES
+from scholarlens.functions.tails import normal_two_sided, student_two_sided
 from scholarlens.operators import citations as D
 from scholarlens.operators import counts as N
 from scholarlens.operators import growth as G
@@ -434,32 +435,50 @@ def stat_wilcoxon_basis(spark, sf):
                            "Observation-based").withColumn("z", r6("z", "z"))
 
 
-@query("stat_wilcoxon_p")
+@query("stat_wilcoxon_p", "v_dsum", "WITH t AS (" + _WILCOXON.format(
+    rows="SELECT tagged_citizen_science AS g, citations AS x FROM v_dsum", first="false") + """),
+    i AS (SELECT unnest(range(0, 4001)) AS i)
+    SELECT n1, n2, w, z, round(1 - 2 / sqrt(pi()) * sum(
+        exp(-power(abs(z) / sqrt(2) * i / 4000, 2))
+        * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * abs(z) / sqrt(2) / 4000 / 3, 6) AS p
+    FROM t, i GROUP BY 1, 2, 3, 4""")
 def stat_wilcoxon_p(spark, sf):
     """Two-sided p value, worked out on the single result row."""
-    from scholarlens.functions.tails import normal_two_sided
     return R.rank_sum_test(v.dsum(spark, sf), "citations", "tagged_citizen_science", False
-                           ).withColumn("p", normal_two_sided("z"))
+                           ).withColumn("z", r6("z", "z")).withColumn(
+        "p", r6(normal_two_sided("z"), "p"))
 
 
-@query("stat_spearman", "v_dsum", """
+_SPEARMAN = """
     WITH r AS (SELECT rank() OVER (ORDER BY total_occurrences)
                       + (count(*) OVER (PARTITION BY total_occurrences) - 1) / 2 AS rx,
                       rank() OVER (ORDER BY citations)
                       + (count(*) OVER (PARTITION BY citations) - 1) / 2 AS ry
                FROM v_dsum WHERE citations IS NOT NULL AND total_occurrences IS NOT NULL),
-    c AS (SELECT corr(rx, ry) AS rho, CAST(count(*) AS DOUBLE) AS n FROM r)
+    c AS (SELECT corr(rx, ry) AS rho, CAST(count(*) AS DOUBLE) AS n FROM r),
+    t AS (SELECT n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2 AS df FROM c)
+"""
+
+
+@query("stat_spearman", "v_dsum", _SPEARMAN + """
     SELECT CAST(n AS BIGINT) AS n, round(rho, 6) AS rho,
-           round((n * n * n - n) / 6 * (1 - rho), 2) AS s,
-           round(rho * sqrt((n - 2) / (1 - rho * rho)), 6) AS t, CAST(n - 2 AS BIGINT) AS df
-    FROM c""")
+           round((n * n * n - n) / 6 * (1 - rho), 2) AS s, round(t, 6) AS t,
+           CAST(df AS BIGINT) AS df FROM t""")
 def stat_spearman(spark, sf):
     result = R.rank_correlation(v.dsum(spark, sf), "total_occurrences", "citations")
     return result.select("n", r6("rho", "rho"), F.round("s", 2).alias("s"), r6("t", "t"), "df")
 
 
-@query("stat_spearman_p")
+@query("stat_spearman_p", "v_dsum", _SPEARMAN + """,
+    i AS (SELECT unnest(range(0, 4001)) AS i)
+    SELECT CAST(n AS BIGINT) AS n, round(rho, 6) AS rho, round(1 - 2 * sum(
+        exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi())
+            - (df + 1) / 2 * ln(1 + power(abs(t) * i / 4000, 2) / df))
+        * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * abs(t) / 4000 / 3, 6) AS p
+    FROM t, i GROUP BY n, rho, t, df""")
 def stat_spearman_p(spark, sf):
-    from scholarlens.functions.tails import student_two_sided
     result = R.rank_correlation(v.dsum(spark, sf), "total_occurrences", "citations")
-    return result.withColumn("p", student_two_sided("t", F.col("df").cast("double")))
+    return result.select("n", r6("rho", "rho"),
+                         r6(student_two_sided("t", F.col("df").cast("double")), "p"))

@@ -112,7 +112,7 @@ def join_theta_lookup(spark, sf):
     """Share of given (document, topic) pairs by an equality join."""
     theta = v.theta(spark, sf)
     pairs = T.top_documents(theta).select("doc_id", "topic")
-    return theta.join(pairs, ["doc_id", "topic"]).select("topic", "doc_id", r6("theta", "theta"))
+    return theta.join(F.broadcast(pairs), ["doc_id", "topic"]).select("topic", "doc_id", r6("theta", "theta"))
 
 
 @query("join_doc_meta", "v_theta v_doc", f"""
@@ -121,7 +121,7 @@ def join_theta_lookup(spark, sf):
 def join_doc_meta(spark, sf):
     best = T.top_documents(v.theta(spark, sf)).select("topic", "rank", "doc_id")
     meta = v.doc(spark, sf).select(F.col("id").alias("doc_id"), "year", "source", "lang")
-    return best.join(meta, "doc_id")
+    return meta.join(F.broadcast(best), "doc_id")
 
 
 @query("join_topic_words", "v_theta v_beta", "WITH " + words_sql(15).strip() + f"""
@@ -502,7 +502,23 @@ def tm_heldout(spark, sf):
                             v.beta(spark, sf), ("level",)).withColumn("heldout", r6("heldout", "h"))
 
 
-@query("tm_residuals")
+@query("tm_residuals", "v_tok v_theta v_beta", """
+    WITH df AS (SELECT term FROM v_tok GROUP BY 1 HAVING count(*) > 10),
+    p AS (SELECT t.doc_id, t.term, t.cnt FROM v_tok t JOIN df USING (term)),
+    n AS (SELECT doc_id, CAST(sum(cnt) AS DOUBLE) AS m FROM p GROUP BY 1),
+    b AS (SELECT topic, term, exp(logbeta) / sum(exp(logbeta)) OVER (PARTITION BY topic) AS beta
+          FROM v_beta JOIN df USING (term) WHERE level = 1),
+    q AS (SELECT n.doc_id, b.term, any_value(m) AS m, sum(theta * beta) AS q
+          FROM n JOIN v_theta h ON n.doc_id = h.doc_id JOIN b ON b.topic = h.topic GROUP BY 1, 2),
+    r AS (SELECT sum(m * q.q / (1 - q.q)
+                     + coalesce((cnt * cnt - 2 * cnt * m * q.q) / (m * q.q * (1 - q.q)), 0)) AS ss,
+                 count(*) FILTER (WHERE m * q.q > 0.01) AS cells
+          FROM q LEFT JOIN p ON q.doc_id = p.doc_id AND q.term = p.term)
+    SELECT (SELECT count(*) FROM n) AS docs, round(ss, 1) AS ss,
+           cells - (SELECT count(*) FROM n) * 4 - 5 * ((SELECT count(*) FROM df) - 1) AS df,
+           round(ss / (cells - (SELECT count(*) FROM n) * 4
+                       - 5 * ((SELECT count(*) FROM df) - 1)), 6) AS dispersion
+    FROM r""")
 def tm_residuals(spark, sf):
     """Residual dispersion of the fixed shares over the pruned vocabulary."""
     counts = written(prune(v.tok(spark, sf), 10), "pruned")
@@ -511,9 +527,11 @@ def tm_residuals(spark, sf):
     joined = level_beta(spark, sf).join(vocab, "term").select(
         (F.col("term_id") - 1).alias("idx"), "topic", F.exp("logbeta").alias("beta"))
     total = joined.groupBy("topic").agg(F.sum("beta").alias("tot"))
-    beta = joined.join(total, "topic").select(
+    beta = joined.join(F.broadcast(total), "topic").select(
         "idx", "topic", (F.col("beta") / F.col("tot")).alias("beta"))
-    return residual_dispersion(docs, v.theta(spark, sf), beta, vocab.count(), v.TOPICS)
+    result = residual_dispersion(docs, v.theta(spark, sf), beta, vocab.count(), v.TOPICS)
+    return result.select("docs", F.round("ss", 1).alias("ss"), "df",
+                         r6("dispersion", "dispersion"))
 
 
 _METRICS = "WITH " + words_sql(10).strip() + "," + _FREX.format(w=0.7) + """,

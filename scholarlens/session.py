@@ -72,15 +72,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a small file-backed frame, read as fewer splits than cores, over all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spread(df: DataFrame, waves: int = 4) -> DataFrame:
     """Fit the partitions of a file-backed frame to the cores that work on them.
 
-    A small file in one split is spread over all cores. A very large input is merged, without
-    a shuffle, to a few waves of tasks; use it where every task returns a partial result of
-    fixed size, so that the number of partials follows the cluster and not the data.
+    Besides widening a small input, merges a very large one, without a shuffle, to a few waves
+    of tasks. Use it where every task returns a partial result of fixed size, so that the
+    number of partials follows the cluster and not the data.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits < cores:
-        return df.repartition(cores)
-    return df.coalesce(waves * cores) if splits > waves * cores else df
+    most = waves * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else widen(df)

@@ -14,6 +14,7 @@ from scholarlens.functions.fixed import SENTINEL
 from scholarlens.operators.citations import with_citations, with_group_totals
 from scholarlens.operators.growth import latest_snapshot
 from scholarlens.operators.text import doc_terms, tokens
+from scholarlens.session import widen
 
 RECENT_STUDY = 1998
 RECENT_DOC = 2009
@@ -149,7 +150,7 @@ def occ(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers: first line is the title, the rest the abstract (null if none)."""
     cut = F.instr("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return widen(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"),
         (F.expr("substr(source, 4)").cast("int") + 2000).alias("year"),
         "source",
