@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.functions.columns import flag_equals, percent
@@ -16,7 +16,7 @@ def separate_rows(df: DataFrame, column: str, sep: str = ",", out: str | None =
     Elements are neither trimmed nor deduplicated, unless ``distinct`` asks for each element
     once per input row.
     """
-    items = F.split(column, f"\\Q{sep}\\E", -1)
+    items = _items(column, sep)
     if distinct:
         items = F.array_distinct(items)
     out = out or column
@@ -24,6 +24,10 @@ def separate_rows(df: DataFrame, column: str, sep: str = ",", out: str | None =
     return df.select(*kept, F.explode_outer(items).alias(out))
 
 
+def _items(column: str, sep: str = ",") -> Column:
+    return F.split(column, f"\\Q{sep}\\E", -1)
+
+
 def attach_region(df: DataFrame, code: str, dim: DataFrame, dim_code: str = "iso2",
                   null_safe: bool = False) -> DataFrame:
     """Left join of a code column to the country dimension.
@@ -37,34 +41,33 @@ def attach_region(df: DataFrame, code: str, dim: DataFrame, dim_code: str = "iso
             .select("l.*", *[F.col(f"r.{c}") for c in dim.columns if c != dim_code]))
 
 
-def study_totals(studies: DataFrame, coverage: str) -> DataFrame:
-    """One row: all studies and studies that are not marked as global."""
-    return studies.agg(
-        F.count("*").alias("n_all"),
-        F.count_if(flag_equals(coverage, SENTINEL) == 0).alias("n_single"))
-
-
 def region_coverage(studies: DataFrame, dim: DataFrame, study_id: str = "id",
                     coverage: str = "countries_coverage") -> DataFrame:
     """Study-by-country rows per region, with both percents and why rows stayed unmatched.
 
     Percents are over studies while counts are study-by-country rows, so they need not add up
-    to 100. The percent over single-region studies is null for the unmatched group.
+    to 100. The percent over single-region studies is null for the unmatched group. Each study
+    has one row at list position 0, so the study totals come out of the same pass.
     """
-    totals = study_totals(studies, coverage).select(F.struct("n_all", "n_single")).scalar()
-    rows = separate_rows(studies.select(study_id, coverage), coverage)
-    code, region = F.col(coverage), F.col("region")
-    counts = attach_region(rows, coverage, dim.select("iso2", "region")).groupBy("region").agg(
+    rows = studies.select(study_id, F.posexplode_outer(_items(coverage)).alias("pos", "code"))
+    code, region = F.col("code"), F.col("region")
+    first = F.coalesce("pos", F.lit(0)) == 0
+    counts = attach_region(rows, "code", dim.select("iso2", "region")).groupBy("region").agg(
         F.count("*").alias("n"),
         F.count_distinct(study_id).alias("n_studies"),
         F.count_if(code.isNull()).alias("n_no_list"),
         F.count_if(region.isNull() & (code == SENTINEL)).alias("n_global"),
-        F.count_if(region.isNull() & (code != SENTINEL)).alias("n_unknown_code"))
+        F.count_if(region.isNull() & (code != SENTINEL)).alias("n_unknown_code"),
+        F.count_if(first).alias("_all"),
+        F.count_if(first & (flag_equals("code", SENTINEL) == 0)).alias("_single"))
+    # One row per region from here on.
+    every = Window.partitionBy()
     return counts.select(
         F.coalesce(region, F.lit(UNMATCHED_REGION)).alias("region"),
         "n", "n_studies", "n_no_list", "n_global", "n_unknown_code",
-        percent("n", totals["n_all"]).alias("prop_all"),
-        F.when(region.isNotNull(), percent("n", totals["n_single"])).alias("prop_single"))
+        percent("n", F.sum("_all").over(every)).alias("prop_all"),
+        F.when(region.isNotNull(), percent("n", F.sum("_single").over(every)))
+        .alias("prop_single"))
 
 
 def region_authorship(studies: DataFrame, dim: DataFrame, authors: str = "countries_researcher",
@@ -77,12 +80,14 @@ def region_authorship(studies: DataFrame, dim: DataFrame, authors: str = "countr
     keyed = studies.select((by if by is not None else F.lit("all")).alias("part"), authors)
     counts = attach_region(separate_rows(keyed, authors), authors, dim.select("iso2", "region")
                            ).groupBy("part", "region").agg(F.count("*").alias("n"))
-    whole = counts.groupBy("part").agg(F.sum("n").alias("n_part"))
-    spine = whole.select("part", "n_part", F.explode(
-        dim.agg(F.array_sort(F.collect_set("region"))).scalar()).alias("region"))
-    named = spine.join(counts, ["part", "region"], "left").select(
-        "part", "region", F.coalesce("n", F.lit(0)).alias("n"), "n_part")
-    unmatched = counts.where(F.col("region").isNull()).join(whole, "part").select(
-        "part", F.lit(UNMATCHED_REGION).alias("region"), "n", "n_part")
-    return named.unionByName(unmatched).select(
-        "part", "region", "n", percent("n", "n_part").alias("prop_all"))
+    # At most parts x regions rows from here on: gathered per part and opened over all regions.
+    per_part = counts.groupBy("part").agg(
+        F.sum("n").alias("n_part"),
+        F.map_from_entries(F.collect_list(F.struct(
+            F.coalesce("region", F.lit(UNMATCHED_REGION)).alias("region"), "n"))).alias("n"))
+    regions = dim.agg(F.array_sort(F.collect_set("region"))).scalar()
+    named = per_part.withColumn("regions", regions).select("part", "n_part", "n", F.explode(
+        F.array_union("regions", F.map_keys("n"))).alias("region"))
+    return named.select("part", "region", F.coalesce(F.col("n")[F.col("region")], F.lit(0))
+                        .alias("n"), "n_part").withColumn("prop_all", percent("n", "n_part")
+                                                          ).drop("n_part")

@@ -188,13 +188,15 @@ def contrast_words(left: DataFrame, right: DataFrame, n: int = 25) -> DataFrame:
     The union of each side's best n/2 words, with the difference scaled to [-1, 1], a text size
     and the side the word leans to. ``left`` and ``right``: (term, logbeta).
     """
-    half = n // 2
-    both = [top_per_topic(side.withColumn("topic", F.lit(0)), "logbeta", "term", half)
-            .select("term") for side in (left, right)]
-    words = both[0].union(both[1]).distinct()
-    pl, pr = F.coalesce(F.exp("l.logbeta"), F.lit(0.0)), F.coalesce(F.exp("r.logbeta"), F.lit(0.0))
-    joined = (words.join(left.alias("l"), "term", "left").join(right.alias("r"), "term", "left")
-              .select("term", (pl + pr).alias("both"), (pl - pr).alias("gap")))
+    sides = left.select("term", "logbeta", F.lit("l").alias("at")).unionByName(
+        right.select("term", "logbeta", F.lit("r").alias("at")))
+    words = top_per_topic(sides, "logbeta", "term", n // 2, ["at"]).select("term").distinct()
+
+    def share(at: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("at") == at, F.exp("logbeta"))), F.lit(0.0))
+
+    joined = sides.join(F.broadcast(words), "term", "left_semi").groupBy("term").agg(
+        (share("l") + share("r")).alias("both"), (share("l") - share("r")).alias("gap"))
     # At most n rows from here on.
     every = Window.partitionBy()
     diff = F.col("gap") / F.max(F.abs("gap")).over(every)

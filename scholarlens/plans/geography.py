@@ -51,7 +51,7 @@ def src_country_dim(spark, sf):
 def map_counts(spark, sf):
     """Countries studied and author countries with centroids, as two map layers."""
     dim = v.country(spark, sf)
-    studies = v.bib(spark, sf)
+    studies = v.studies(spark, sf)
     layers = F.array(F.struct(F.lit("coverage").alias("layer"),
                               F.col("countries_coverage").alias("list")),
                      F.struct(F.lit("authors").alias("layer"),
@@ -103,7 +103,7 @@ def src_taxon_counts(spark, sf):
            TRY_CAST(n_records AS DOUBLE) AS n_records,
            TRY_CAST(tracking_source AS INTEGER) AS bad_number FROM v_bib""")
 def prj_cast(spark, sf):
-    return v.bib(spark, sf).select(
+    return v.studies(spark, sf).select(
         F.col("id").cast("string").alias("id"), F.col("year").cast("int").alias("year"),
         F.col("n_records").try_cast("double").alias("n_records"),
         F.col("tracking_source").try_cast("int").alias("bad_number"))
@@ -112,14 +112,14 @@ def prj_cast(spark, sf):
 @query("prj_flag_positive", "v_bib", """
     SELECT id, CASE WHEN n_downloads > 0 THEN 1 ELSE 0 END AS cite_doi FROM v_bib""")
 def prj_flag_positive(spark, sf):
-    return v.bib(spark, sf).select("id", C.flag_positive("n_downloads").alias("cite_doi"))
+    return v.studies(spark, sf).select("id", C.flag_positive("n_downloads").alias("cite_doi"))
 
 
 @query("prj_flag_sentinel", "v_bib", f"""
     SELECT id, CASE WHEN countries_coverage = '{SENTINEL}' THEN 1 ELSE 0 END AS multiple_regions
     FROM v_bib WHERE year > {CUT}""")
 def prj_flag_sentinel(spark, sf):
-    return recent(v.bib(spark, sf)).select(
+    return recent(v.studies(spark, sf)).select(
         "id", C.flag_equals("countries_coverage", SENTINEL).alias("multiple_regions"))
 
 
@@ -139,7 +139,7 @@ _COVERAGE_SQL = f"""
 
 
 def coverage(spark, sf):
-    return M.region_coverage(recent(v.bib(spark, sf)), v.country(spark, sf))
+    return M.region_coverage(recent(v.studies(spark, sf)), v.country(spark, sf))
 
 
 @query("region_coverage", "v_bib v_country", _COVERAGE_SQL + f"""
@@ -222,7 +222,7 @@ def flt_exclude_id(spark, sf):
     SELECT CASE WHEN countries_coverage = '{SENTINEL}' THEN 1 ELSE 0 END AS multiple_regions,
            count(*) AS n FROM v_bib WHERE year > {CUT} GROUP BY 1""")
 def flt_flag_partition(spark, sf):
-    flagged = recent(v.bib(spark, sf)).withColumn(
+    flagged = recent(v.studies(spark, sf)).withColumn(
         "multiple_regions", C.flag_equals("countries_coverage", SENTINEL))
     return N.group_count(flagged, "multiple_regions")
 
@@ -233,7 +233,7 @@ def flt_flag_partition(spark, sf):
     SELECT id, unnest(coalesce(string_split(countries_researcher, ','), [null])) AS country
     FROM v_bib""")
 def gen_separate_rows(spark, sf):
-    return M.separate_rows(v.bib(spark, sf), "countries_researcher", out="country").select(
+    return M.separate_rows(v.studies(spark, sf), "countries_researcher", out="country").select(
         "id", "country")
 
 
@@ -251,7 +251,7 @@ def gen_year_spine(spark, sf):
     FROM (SELECT id, unnest(coalesce(string_split(countries_coverage, ','), [null])) AS code
           FROM v_bib) LEFT JOIN v_country ON code = iso2""")
 def join_left_region(spark, sf):
-    rows = M.separate_rows(v.bib(spark, sf), "countries_coverage", out="code").select("id", "code")
+    rows = M.separate_rows(v.studies(spark, sf), "countries_coverage", out="code").select("id", "code")
     return M.attach_region(rows, "code", v.country(spark, sf).select("iso2", "region"))
 
 
@@ -278,7 +278,7 @@ _AUTHOR_SQL = f"""
 def region_authorship(spark, sf):
     """Author countries per region for single-region and global studies, one pass for both."""
     part = F.when(F.col("countries_coverage") == SENTINEL, "global").otherwise("single")
-    return M.region_authorship(recent(v.bib(spark, sf)), v.country(spark, sf), by=part).withColumn(
+    return M.region_authorship(recent(v.studies(spark, sf)), v.country(spark, sf), by=part).withColumn(
         "prop_all", r6("prop_all", "p"))
 
 
@@ -342,7 +342,7 @@ def set_union_literal(spark, sf):
            count(*) FILTER (WHERE countries_researcher IS NULL) AS n_missing FROM v_bib""")
 def fn_null_test(spark, sf):
     lists = F.col("countries_researcher")
-    return v.bib(spark, sf).agg(F.count("*").alias("n"), F.count_if(lists.isNotNull())
+    return v.studies(spark, sf).agg(F.count("*").alias("n"), F.count_if(lists.isNotNull())
                                 .alias("n_known"), F.count_if(lists.isNull()).alias("n_missing"))
 
 

@@ -46,7 +46,7 @@ def agg_count(spark, sf):
            count(*) FILTER (WHERE n_downloads > 0) AS n_doi,
            count(*) FILTER (WHERE countries_researcher IS NOT NULL) AS n_affiliated FROM v_bib""")
 def agg_count_if(spark, sf):
-    return v.bib(spark, sf).agg(
+    return v.studies(spark, sf).agg(
         F.count_if(F.col("year") > CUT).alias("n_recent"),
         F.count_if(F.col("n_downloads") > 0).alias("n_doi"),
         F.count_if(F.col("countries_researcher").isNotNull()).alias("n_affiliated"))
@@ -109,7 +109,7 @@ def agg_factor_summary_other(spark, sf):
     SELECT year, count(*) AS papers, CAST(sum(CASE WHEN n_downloads > 0 THEN 1 ELSE 0 END)
            AS BIGINT) AS papers_doi FROM v_bib GROUP BY 1""")
 def agg_year_pubs(spark, sf):
-    return N.papers_per_year(v.bib(spark, sf), C.flag_positive("n_downloads"))
+    return N.papers_per_year(v.studies(spark, sf), C.flag_positive("n_downloads"))
 
 
 @query("agg_taxon_share", "v_bib", f"""
@@ -141,7 +141,7 @@ def agg_taxon_buckets(spark, sf):
            max(n_records) AS max_records FROM v_bib GROUP BY 1, 2""")
 def agg_split_apply(spark, sf):
     """Several summaries per group; native aggregates keep groups spread and pre-aggregated."""
-    return v.bib(spark, sf).groupBy("source", "year").agg(
+    return v.studies(spark, sf).groupBy("source", "year").agg(
         F.count("*").alias("n"), r6(F.avg("n_downloads"), "mean_downloads"),
         F.max("n_records").alias("max_records"))
 
@@ -347,7 +347,7 @@ def win_midrank(spark, sf):
            round(quantile_cont(x, 0.75), 6) AS q3, max(x) AS maximum,
            count(*) FILTER (WHERE x IS NULL) AS n_missing FROM l GROUP BY 1""")
 def agg_six_number(spark, sf):
-    table = R.six_numbers(v.bib(spark, sf), ["n_downloads", "n_records"])
+    table = R.six_numbers(v.studies(spark, sf), ["n_downloads", "n_records"])
     return table.select("measure", "minimum", r6("q1", "q1"), r6("median", "median"),
                         r6("mean", "mean"), r6("q3", "q3"), "maximum", "n_missing")
 

@@ -521,7 +521,7 @@ def tm_heldout(spark, sf):
     FROM r""")
 def tm_residuals(spark, sf):
     """Residual dispersion of the fixed shares over the pruned vocabulary."""
-    counts = written(prune(v.tok(spark, sf), 10), "pruned")
+    counts = written(prune(written(v.tok(spark, sf), "counts"), 10), "pruned")
     vocab = written(vocabulary(counts), "vocab")
     docs = spread(written(packed_documents(counts, vocab), "docs"))
     joined = level_beta(spark, sf).join(vocab, "term").select(
@@ -548,9 +548,9 @@ def metrics(spark, sf):
     excl = Q.exclusivity(beta, 10, keys=BOTH)
     mean = T.top_words(beta, 10, keys=BOTH).groupBy("level", "topic").agg(
         r6(F.avg("logbeta"), "coherence"))
-    return excl.join(mean, ["level", "topic"]).select(
+    return written(excl.join(mean, ["level", "topic"]).select(
         "level", "topic", (F.col("level") * 10 + F.col("topic")).alias("k"),
-        r6("exclusivity", "exclusivity"), "coherence")
+        r6("exclusivity", "exclusivity"), "coherence"), "metrics")
 
 
 @query("tm_frontier", "v_beta", _METRICS + """

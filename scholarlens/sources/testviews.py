@@ -81,13 +81,10 @@ def _study_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole bibliographic table."""
-    taxa = bib_taxa(spark, sf_dir)
-    lists = _study_lists(spark, sf_dir)
+def _with_lists(core: DataFrame, lists: DataFrame) -> DataFrame:
     joined_list = F.array_join("nations", ",")
-    return taxa.join(lists, taxa.id == lists.l_orderkey, "left").select(
-        *taxa.columns,
+    return core.join(lists, core.id == lists.l_orderkey, "left").select(
+        *core.columns,
         F.when(F.col("downloads") > 0, F.col("downloads")).alias("n_downloads"),
         F.col("records").alias("n_records"),
         joined_list.alias("countries_researcher"),
@@ -96,6 +93,16 @@ def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bibliographic table without taxonomic groups, which need one more join."""
+    return _with_lists(bib_core(spark, sf_dir).drop("o_custkey"), _study_lists(spark, sf_dir))
+
+
+def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bibliographic table."""
+    return _with_lists(bib_taxa(spark, sf_dir), _study_lists(spark, sf_dir))
+
+
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dataset sizes per snapshot, basis of record and citizen-science tag."""
     lineitem = table(spark, sf_dir, "lineitem")
