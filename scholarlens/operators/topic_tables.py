@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.functions.columns import contrast_side, topic_label
+from scholarlens.session import written
 
 
 def top_per_topic(df: DataFrame, score: str, tie: str, n: int,
@@ -146,14 +147,15 @@ def temporal_index(theta: DataFrame, recent_after: int, exclude: Sequence[int] =
 def topic_correlations(theta: DataFrame, cutoff: float = 0.01) -> DataFrame:
     """Edges (src, dst, corr) of topics whose document shares correlate above the cutoff.
 
-    Documents are read once. A task adds up cross products of its share vectors and returns one
-    row per topic; only sums of the size topics x topics reach the driver.
+    Every document has a share of every topic. Documents are read once; a task adds up cross
+    products of its share vectors and returns one row per topic. Only sums of the size topics x
+    topics reach the driver.
     """
-    ids = sorted(r[0] for r in theta.select("topic").distinct().collect())
-    k = len(ids)
-    vectors = theta.groupBy("doc_id").agg(
+    vectors = written(theta.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("topic", "theta"))).alias("t")).select(
-        F.col("t.theta").alias("v"))
+        F.col("t.topic").alias("ids"), F.col("t.theta").alias("v")), "shares")
+    ids = vectors.select("ids").first()[0]
+    k = len(ids)
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((k + 1, k + 1))
@@ -163,7 +165,7 @@ def topic_correlations(theta: DataFrame, cutoff: float = 0.01) -> DataFrame:
                 sums += x.T @ x
         yield pd.DataFrame({"i": np.arange(k + 1), "v": list(sums)})
 
-    partial = vectors.mapInPandas(cross, "i int, v array<double>")
+    partial = vectors.select("v").mapInPandas(cross, "i int, v array<double>")
     total = partial.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(k + 1)])
     s = total.orderBy("i").drop("i").toPandas().to_numpy()
     n, mean = s[k, k], s[:k, k] / s[k, k]

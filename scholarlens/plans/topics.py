@@ -37,8 +37,8 @@ def words_sql(n: int, sep: str = ",") -> str:
     return _WORDS.format(n=n, sep=sep)
 
 
-def level_beta(spark, sf, level: int = 1):
-    return v.beta(spark, sf).where(F.col("level") == level).drop("level")
+def level_beta(spark, sf, level: int = 1, words=None):
+    return v.beta(spark, sf, words).where(F.col("level") == level).drop("level")
 
 
 def prev(spark, sf):
@@ -128,8 +128,9 @@ def join_doc_meta(spark, sf):
     SELECT t.topic, t.doc_id, l.top_words FROM ({_TOP_DOCS}) t
     LEFT JOIN lists l ON t.topic = l.topic AND l.level = 1""")
 def join_topic_words(spark, sf):
-    best = T.top_documents(v.theta(spark, sf)).select("topic", "doc_id")
-    return best.join(T.word_lists(level_beta(spark, sf), 15), "topic", "left")
+    words = v.stored_tok(spark, sf)
+    best = T.top_documents(v.theta(spark, sf, words)).select("topic", "doc_id")
+    return best.join(T.word_lists(level_beta(spark, sf, words=words), 15), "topic", "left")
 
 
 _REPORT = "WITH " + words_sql(15).strip() + f"""
@@ -142,8 +143,9 @@ REPORT_COLUMNS = ("year", "source", "keywords", "title")
 
 def report(spark, sf):
     """Reports of two models in one job: the covariate levels stand in for numbers of topics."""
-    beta = v.beta(spark, sf).withColumnRenamed("level", "k")
-    theta = v.theta(spark, sf).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    words = v.stored_tok(spark, sf)
+    beta = v.beta(spark, sf, words).withColumnRenamed("level", "k")
+    theta = v.theta(spark, sf, words).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     docs = v.doc(spark, sf).withColumnRenamed("id", "doc_id")
     return T.topic_report(theta, beta, docs, keys=("k", "topic"), doc_columns=REPORT_COLUMNS)
 
@@ -155,8 +157,9 @@ def tm_topic_report(spark, sf):
 
 @query("prj_select_named", "v_theta v_beta v_doc", _REPORT.format(k="", on="AND l.level = 1"))
 def prj_select_named(spark, sf):
+    words = v.stored_tok(spark, sf)
     docs = v.doc(spark, sf).withColumnRenamed("id", "doc_id")
-    return T.topic_report(v.theta(spark, sf), level_beta(spark, sf), docs,
+    return T.topic_report(v.theta(spark, sf, words), level_beta(spark, sf, words=words), docs,
                           doc_columns=REPORT_COLUMNS)
 
 
@@ -269,7 +272,9 @@ def tm_topic_vertices(spark, sf):
            round(theta_recent, 6) AS theta_recent, round(theta_pre, 6) AS theta_pre
     FROM prev p JOIN lists l ON p.topic = l.topic AND level = 1""")
 def tm_prevalence_report(spark, sf):
-    return T.prevalence_report(v.theta(spark, sf), level_beta(spark, sf), CUT).select(
+    words = v.stored_tok(spark, sf)
+    beta = level_beta(spark, sf, words=words)
+    return T.prevalence_report(v.theta(spark, sf, words), beta, CUT).select(
         "topic", "top_words", *[r6(c, c) for c in ("theta_all", "theta_recent", "theta_pre")])
 
 
@@ -280,7 +285,9 @@ def tm_prevalence_report(spark, sf):
            round(least(max(theta_all) OVER () * 2, 1), 6) AS axis_bound
     FROM prev p JOIN lists l ON p.topic = l.topic AND level = 1""")
 def tm_summary_table(spark, sf):
-    return T.summary_table(v.theta(spark, sf), level_beta(spark, sf), CUT).select(
+    words = v.stored_tok(spark, sf)
+    beta = level_beta(spark, sf, words=words)
+    return T.summary_table(v.theta(spark, sf, words), beta, CUT).select(
         "topic", "rank", r6("theta_all", "theta_all"), "label", r6("axis_bound", "axis_bound"))
 
 
@@ -437,7 +444,8 @@ _COHERENCE = "WITH " + words_sql(10).strip() + """,
     JOIN words x ON co.level = x.level AND co.topic = x.topic AND co.wj = x.term
     WHERE docs_both > 0""")
 def join_cooccurrence(spark, sf):
-    pairs = Q.cooccurrence(v.tok(spark, sf), v.beta(spark, sf), 10, BOTH)
+    words = v.stored_tok(spark, sf)
+    pairs = Q.cooccurrence(words, v.beta(spark, sf, words), 10, BOTH)
     return pairs.where(F.col("hi") < F.col("lo"))
 
 
@@ -445,7 +453,8 @@ def join_cooccurrence(spark, sf):
     SELECT level, topic, round(sum(ln((docs_both + 1) / df)), 6) AS coherence
     FROM co JOIN d ON wi = d.term GROUP BY 1, 2""")
 def tm_semantic_coherence(spark, sf):
-    return Q.semantic_coherence(v.tok(spark, sf), v.beta(spark, sf), 10, BOTH).withColumn(
+    words = v.stored_tok(spark, sf)
+    return Q.semantic_coherence(words, v.beta(spark, sf, words), 10, BOTH).withColumn(
         "coherence", r6("coherence", "c"))
 
 
@@ -482,7 +491,8 @@ def tm_exclusivity(spark, sf):
                                      ORDER BY round(value, 9) DESC, term) AS rank FROM lg)
     WHERE rank <= 10""")
 def tm_label_words(spark, sf):
-    return Q.label_words(level_beta(spark, sf), v.tok(spark, sf)).select(
+    words = v.stored_tok(spark, sf)
+    return Q.label_words(level_beta(spark, sf, words=words), words).select(
         "topic", "label", "term", "rank", r6("value", "value"))
 
 
@@ -497,9 +507,10 @@ def tm_label_words(spark, sf):
            round(avg(loglik / tokens), 6) AS heldout FROM per GROUP BY 1""")
 def tm_heldout(spark, sf):
     """Score of all words under fixed shares, one row per covariate level."""
-    theta = v.theta(spark, sf).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
-    return Q.held_out_score(v.tok(spark, sf).select("doc_id", "term", "cnt"), theta,
-                            v.beta(spark, sf), ("level",)).withColumn("heldout", r6("heldout", "h"))
+    words = v.stored_tok(spark, sf)
+    theta = v.theta(spark, sf, words).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
+    return Q.held_out_score(words.select("doc_id", "term", "cnt"), theta,
+                            v.beta(spark, sf, words), ("level",)).withColumn("heldout", r6("heldout", "h"))
 
 
 @query("tm_residuals", "v_tok v_theta v_beta", """
@@ -521,15 +532,16 @@ def tm_heldout(spark, sf):
     FROM r""")
 def tm_residuals(spark, sf):
     """Residual dispersion of the fixed shares over the pruned vocabulary."""
-    counts = written(prune(written(v.tok(spark, sf), "counts"), 10), "pruned")
+    words = v.stored_tok(spark, sf)
+    counts = written(prune(words, 10), "pruned")
     vocab = written(vocabulary(counts), "vocab")
     docs = spread(written(packed_documents(counts, vocab), "docs"))
-    joined = level_beta(spark, sf).join(vocab, "term").select(
+    joined = level_beta(spark, sf, words=words).join(vocab, "term").select(
         (F.col("term_id") - 1).alias("idx"), "topic", F.exp("logbeta").alias("beta"))
     total = joined.groupBy("topic").agg(F.sum("beta").alias("tot"))
     beta = joined.join(F.broadcast(total), "topic").select(
         "idx", "topic", (F.col("beta") / F.col("tot")).alias("beta"))
-    result = residual_dispersion(docs, v.theta(spark, sf), beta, vocab.count(), v.TOPICS)
+    result = residual_dispersion(docs, v.theta(spark, sf, words), beta, vocab.count(), v.TOPICS)
     return result.select("docs", F.round("ss", 1).alias("ss"), "df",
                          r6("dispersion", "dispersion"))
 
@@ -544,7 +556,7 @@ _METRICS = "WITH " + words_sql(10).strip() + "," + _FREX.format(w=0.7) + """,
 
 def metrics(spark, sf):
     """One row per (level, topic) in the shape of a sweep result."""
-    beta = v.beta(spark, sf)
+    beta = written(v.beta(spark, sf), "beta")
     excl = Q.exclusivity(beta, 10, keys=BOTH)
     mean = T.top_words(beta, 10, keys=BOTH).groupBy("level", "topic").agg(
         r6(F.avg("logbeta"), "coherence"))

@@ -14,7 +14,7 @@ from scholarlens.functions.fixed import SENTINEL
 from scholarlens.operators.citations import with_citations, with_group_totals
 from scholarlens.operators.growth import latest_snapshot
 from scholarlens.operators.text import doc_terms, tokens
-from scholarlens.session import widen
+from scholarlens.session import widen, written
 
 RECENT_STUDY = 1998
 RECENT_DOC = 2009
@@ -180,13 +180,21 @@ def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ["doc_id", "year"])
 
 
+def stored_tok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document-term table written once, for callers that read it more than once."""
+    return written(tok(spark, sf_dir), "counts")
+
+
 def term_topic(term: str | Column) -> Column:
     return F.length(term) % TOPICS + 1
 
 
-def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed document-topic shares (doc_id, year, topic, theta) in long form."""
-    words = tok(spark, sf_dir)
+def theta(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Fixed document-topic shares (doc_id, year, topic, theta) in long form.
+
+    ``words`` is the document-term table, if the caller has it stored.
+    """
+    words = tok(spark, sf_dir) if words is None else words
     own = [F.sum(F.when(term_topic("term") == k, F.col("cnt")).otherwise(0)).alias(f"t{k}")
            for k in range(1, TOPICS + 1)]
     per_doc = words.groupBy("doc_id", "year").agg(F.sum("cnt").alias("n"), *own)
@@ -196,10 +204,10 @@ def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "year", (F.col("pos") + 1).alias("topic"), "theta")
 
 
-def beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+def beta(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
     """Fixed word shares (level, topic, term, logbeta); level 1 is before the recent years."""
     per_term = (
-        tok(spark, sf_dir)
+        (tok(spark, sf_dir) if words is None else words)
         .groupBy(F.when(F.col("year") > RECENT_DOC, 2).otherwise(1).alias("level"), "term")
         .agg(F.sum("cnt").alias("cnt"))
     )
