@@ -167,7 +167,7 @@ def topic_correlations(theta: DataFrame, cutoff: float = 0.01) -> DataFrame:
 
     partial = vectors.select("v").mapInPandas(cross, "i int, v array<double>")
     total = partial.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(k + 1)])
-    s = total.orderBy("i").drop("i").toPandas().to_numpy()
+    s = total.orderBy("i").drop("i").toArrow().to_pandas().to_numpy()
     n, mean = s[k, k], s[:k, k] / s[k, k]
     cov = s[:k, :k] / n - np.outer(mean, mean)
     spread = np.sqrt(np.diag(cov))
