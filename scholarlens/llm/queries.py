@@ -6,12 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarlens.llm import mixing, personal, quality, secrets
+from public_tokenizers import path as tokenizer_path
+
+from scholarlens.llm import decontaminate, mixing, packing, personal, quality, secrets
 from scholarlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tokenizer of the encoded corpus and the size of its vocabulary.
+TOKENIZER = "word_bpe_49k.json"
+VOCABULARY = 49_408
+
+
+def op2_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from the store of bit-packed ids."""
+    blocks = packing.store(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), VOCABULARY)
+    return packing.documents_of(blocks)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                               keep=["doc_id"])
+    return decontaminate.measured(found).select(
+        "row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document and the verdict of the adaptive rules."""
     found = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -38,5 +59,5 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
+    op2_bit_packing, op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
 ORACLES: dict[str, str] = {}
