@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from public_tokenizers import path as tokenizer_path
 
-from scholarlens.llm import decontaminate, mixing, packing, personal, quality, secrets
+from scholarlens.llm import decontaminate, mixing, nearness, packing, personal, quality, secrets
 from scholarlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op2_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.documents_of(blocks)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return nearness.joined(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "row.doc_id", "class_id", "n_links")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
@@ -59,5 +65,5 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_bit_packing, op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
+    op2_bit_packing, op4_jaccard_join, op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
 ORACLES: dict[str, str] = {}
