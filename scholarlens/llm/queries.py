@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from public_tokenizers import path as tokenizer_path
 
-from scholarlens.llm import decontaminate, mixing, nearness, packing, personal, quality, secrets
+from scholarlens.llm import (
+    decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, secrets)
 from scholarlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,12 @@ TOKENIZER = "word_bpe_49k.json"
 VOCABULARY = 49_408
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select(
+        "row.page_id", "row.url", "text", "n_chars")
+
+
 def op2_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from the store of bit-packed ids."""
     blocks = packing.store(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), VOCABULARY)
@@ -31,6 +38,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "class_id", "n_links")
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the base and the backoff model."""
+    return katz.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
@@ -65,5 +77,6 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_bit_packing, op4_jaccard_join, op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
+    op1_html_extraction, op2_bit_packing, op4_jaccard_join, op5_katz_scores, op6_decontamination,
+    op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
 ORACLES: dict[str, str] = {}
