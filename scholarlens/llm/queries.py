@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
 from scholarlens.llm import (
-    decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, secrets)
+    decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
+    secrets)
 from scholarlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,12 @@ def op2_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.documents_of(blocks)
 
 
+def op3_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a document of smaller id, and what is kept."""
+    return repeats.deduplicated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return nearness.joined(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
@@ -77,6 +84,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_html_extraction, op2_bit_packing, op4_jaccard_join, op5_katz_scores, op6_decontamination,
-    op7_quality_rules, op8_secret_scan, op9_personal_data, op10_temperature_mixing)}
+    op1_html_extraction, op2_bit_packing, op3_merged_transforms, op4_jaccard_join, op5_katz_scores,
+    op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data,
+    op10_temperature_mixing)}
 ORACLES: dict[str, str] = {}
