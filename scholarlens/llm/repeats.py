@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarlens.llm.common import text_of
+from scholarlens.session import written
 
 SPAN = 50
 KMER = 20
@@ -368,7 +369,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"),
                         text_of(text).alias("text"))
-    spans = covered(plain, span).groupBy("key", "crc").agg(
+    spans = written(covered(plain, span), "covered").groupBy("key", "crc").agg(
         F.collect_list(F.struct("s", "e")).alias("spans"))
     found = plain.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(
         spans, ["key", "crc"], "left").select("key", "text", "spans")
