@@ -4,8 +4,9 @@ Every document is measured in the JVM. The measures of the documents that pass t
 rules are counted into logarithmic bins per language and source: a quantile sketch with a
 bounded relative error that merges by adding counts, so it is the same whatever the order of
 the tasks. Quantiles read off the bins give fences, and documents join the fences of their
-language and source. A group with few documents takes the bins of its whole language, a
-language with few documents those of all.
+language and source. Each language's counts are shrunk toward those of all documents, and each
+source's toward its language, by the number of documents. Only the lower half of a group sets
+its fence: junk cannot move it while it is less than half of the group.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Ratio of neighbouring bin bounds; a quantile is off by at most half a bin.
 GROWTH = 1.04
-#: Measures with an upper fence: third quartile plus ``REACH`` times the spread, at least a floor.
+#: Measures with an upper fence: third quartile plus ``REACH`` times the spread, both mirrored from
+#: the lower half of the group, at least a floor.
 #: A floor keeps a fence from closing on a group whose documents are all alike.
 REACH = 6.0
 FLOORS = {"symbol_rate": 0.25, "repeat_rate": 0.4, "dup_line_rate": 0.5, "mark_rate": 0.5,
           "upper_rate": 0.3}
-#: Documents a group needs before its own quantiles are used.
-MIN_GROUP = 100
+#: Documents that the wider group counts for in each group.
+PRIOR = 100.0
 
 
 def _repeats(words: str) -> tuple[Column, ...]:
@@ -104,34 +106,49 @@ def sketch(measured: DataFrame, m: str, lang: str, source: str) -> DataFrame:
                         index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _shrunk(bins: DataFrame, keys: list[str], wider: DataFrame, prior: float) -> DataFrame:
+    """Counts of each group with the distribution of the ``wider`` group added as ``prior`` documents.
+
+    The weight of a group's own documents grows with their number, without a step.
+    """
+    own = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").cast("double").alias("n"))
+    shares = wider.groupBy(*keys[:-1], "measure").agg(F.sum("n").alias("_total")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys[:-1]], F.col("measure").alias("_measure"), "_total")
+    match = lambda left: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in left]
+    added = wider.join(shares, match([*keys[:-1], "measure"])).select(
+        *[F.col(k).alias(f"_{k}") for k in (*keys[:-1], "measure")], "bin",
+        (prior * F.col("n") / F.col("_total")).alias("n"))
+    groups = own.select(*keys, "measure").distinct()
+    lent = groups.join(added, match([*keys[:-1], "measure"])).select(*keys, "measure", "bin", "n")
+    return own.unionByName(lent).groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
 def _fences(bins: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Quartiles of each group's sketch as an upper fence, and the number of documents in it."""
-    merged = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    """Median and lower quartile of each group's sketch as an upper fence.
+
+    The part above the median is taken as the mirror of the part below, so what is above it,
+    up to half of the group, does not move the fence; on symmetric measures the mirrored
+    third quartile is the third quartile.
+    """
     group = Window.partitionBy(*keys, "measure")
     order = group.orderBy(F.col("bin").asc_nulls_first())  # at most some hundred bins a group
-    placed = merged.select("*", F.sum("n").over(group).alias("total"), F.sum("n").over(
+    placed = bins.select("*", F.sum("n").over(group).alias("total"), F.sum("n").over(
         order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     value = F.coalesce(F.pow(F.lit(GROWTH), F.col("bin") + 0.5), F.lit(0.0))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    return placed.groupBy(*keys, "measure").agg(
-        at(0.25).alias("q1"), at(0.75).alias("q3"), F.first("total").alias("total")).select(
-        *keys, "measure", "total", (F.col("q3") + reach * (F.col("q3") - F.col("q1"))).alias("fence"))
+    # counts hold fractions: a rank is met up to rounding
+    at = lambda q: F.min(F.when(F.col("upto") >= (q - 1e-9) * F.col("total"), value))
+    return placed.groupBy(*keys, "measure").agg(at(0.25).alias("q1"), at(0.5).alias("q2")).select(
+        *keys, "measure",
+        (F.col("q2") + (1 + 2 * reach) * (F.col("q2") - F.col("q1"))).alias("fence"))
 
 
-def thresholds(bins: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(bins: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
     """One row per (lang, source) with a fence for every measure, never below its floor."""
-    own = _fences(bins, ["lang", "source"], reach)
-    tongue = _fences(bins, ["lang"], reach).withColumnsRenamed(
-        {"lang": "l_lang", "measure": "l_measure", "total": "l_total", "fence": "l_fence"})
-    every = _fences(bins, [], reach).select(
-        F.col("measure").alias("a_measure"), F.col("fence").alias("a_fence"))
-    joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("l_lang"))
-                      & (F.col("measure") == F.col("l_measure")), "left").join(
-        every, F.col("measure") == F.col("a_measure"), "left")
-    fence = F.when(F.col("total") >= min_group, F.col("fence")).when(
-        F.col("l_total") >= min_group, F.col("l_fence")).otherwise(F.col("a_fence"))
-    return joined.groupBy("lang", "source").agg(*[
-        F.greatest(F.max(F.when(F.col("measure") == k, fence)), F.lit(v)).alias(f"max_{k}")
+    every = bins.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    tongue = _shrunk(bins, ["lang"], every, prior)
+    fences = _fences(_shrunk(bins, ["lang", "source"], tongue, prior), ["lang", "source"], reach)
+    return fences.groupBy("lang", "source").agg(*[
+        F.greatest(F.max(F.when(F.col("measure") == k, F.col("fence"))), F.lit(v)).alias(f"max_{k}")
         for k, v in FLOORS.items()])
 
 

@@ -54,6 +54,28 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) == 0
 
 
+@pytest.mark.parametrize("n", [5, 99, 100, 10_000])
+@pytest.mark.parametrize("junk", [0.33, 0.45])
+def test_junk_of_a_source_does_not_widen_its_fence(spark, n, junk):
+    rng = random.Random(n)
+    few = round(n * junk)
+    rates = [("en", "dirty", 1.5 + 1.5 * rng.random()) for _ in range(few)] + [
+        ("en", "dirty", 0.0) for _ in range(n - few)]
+    rates += [("en", "code", 0.5 + 0.2 * rng.random()) for _ in range(4000)]
+    rates += [("en", "plain", 0.0) for _ in range(20_000)]
+    words = 1000
+    got = spark.createDataFrame(rates, "lang string, source string, r double").select(
+        "lang", "source", F.struct(*[(F.round(F.col("r") * words).cast("long") if k == "n_symbols"
+                                      else F.lit(words if k == "n_words" else 0).cast("long")).alias(k)
+                                     for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                               "n_repeat_words", "n_lines", "n_marks", "n_upper")])
+        .alias("m"))
+    fences = {r["source"]: r["max_symbol_rate"] for r in quality.thresholds(
+        quality.sketch(got, "m", "lang", "source")).collect()}
+    assert fences["dirty"] < 1.5 and fences["plain"] < 1.5
+    assert fences["code"] > 0.7  # a source that is all of one kind keeps its own style
+
+
 def test_keep_good_returns_the_columns(spark, edges):
     good = "w%d " * 200 % tuple(range(200))
     docs = edges.unionByName(spark.createDataFrame([(99, good, "en", "s", "r", "m", "p")], DOCS))
