@@ -8,6 +8,7 @@ blocks of a few labelled pages, tells the article from the rest.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -30,6 +31,23 @@ FRAME_NAME = re.compile(
     r"cookies?|consent|notice|popup|modal|newsletter|subscribe|comments?|replies|respond|share|"
     r"social|related|footer|header|login|search)(?:$|[\s_-])", re.IGNORECASE)
 CUT_TAG = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?$")
+#: Elements that hold a page or its article: their names tell the layout, not what they hold.
+WRAPPER = {"html", "body", *MAIN}
+#: A named element with more than this share of the page's text is a wrapper too.
+MOST = 0.5
+CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div",
+            "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
+            "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search",
+            "section", "summary", "table", "ul"}
+#: Elements with implied ends: what an opening tag closes, and the elements it does not reach beyond.
+IMPLIED: dict[str, tuple[set[str], set[str]]] = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"td", "th", "tr"}, {"table"}),
+    **{x: ({"td", "th", "tr", "thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}}
+#: An open p is not closed from inside these.
+P_SCOPE = {"table", "td", "th", "caption", "button", "object", "template"}
 DEPTH, LEAST_ROWS = 6, 1
 
 
@@ -39,53 +57,86 @@ class Block:
     linked: int
     inside: bool
     frame: bool
+    named: int = -1
 
 
 class _Blocks(HTMLParser):
+    """``open`` holds (tag, framing tag, number of a framing name or -1) of every open element."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
+        self.tags: Counter[str] = Counter()
         self.parts: list[str] = []
         self.links: list[str] = []
         self.blocks: list[Block] = []
+        self.outer: list[int] = []  # of each framing name, the one around it
+        self.inner = -1
         self.silent = self.frames = self.mains = self.anchors = 0
 
     def _count(self, tag: str, frame: bool, by: int) -> None:
+        self.tags[tag] += by
         self.silent += by * (tag in SILENT)
         self.frames += by * frame
         self.mains += by * (tag in MAIN)
         self.anchors += by * (tag == "a")
 
+    def _pop(self) -> str:
+        tag, frame, name = self.open.pop()
+        self._count(tag, frame, -1)
+        if name >= 0:
+            self.inner = self.outer[name]
+        return tag
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             self.blocks.append(Block(text, len(" ".join(self.links).split()),
-                                     self.mains > 0, self.frames > 0))
+                                     self.mains > 0, self.frames > 0, self.inner))
         self.parts, self.links = [], []
 
+    def _end(self, tags: set[str], scope: set[str]) -> None:
+        """Close the outermost open element of ``tags`` below the last one of ``scope``."""
+        if not any(self.tags[t] for t in tags):
+            return
+        at = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in scope:
+                break
+            if self.open[i][0] in tags:
+                at = i
+        if at is not None:
+            while len(self.open) > at:
+                self._pop()
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag not in INLINE:
             self.flush()
+        if tag in CLOSES_P:
+            self._end({"p"}, P_SCOPE)
+        if tag in IMPLIED:
+            self._end(*IMPLIED[tag])
         if tag in VOID:
             self.parts.append(" " if tag == "br" else "")
             return
         if tag == "body":  # an unclosed head ends here
-            while any(name == "head" for name, _ in self.open):
-                self._count(*self.open.pop(), -1)
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        frame = tag in FRAME or bool(FRAME_NAME.search(names))
-        self.open.append((tag, frame))
-        self._count(tag, frame, 1)
+            while self.tags["head"]:
+                self._pop()
+        name = -1
+        if tag not in WRAPPER and FRAME_NAME.search(
+                " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))):
+            name = len(self.outer)
+            self.outer.append(self.inner)
+            self.inner = name
+        self.open.append((tag, tag in FRAME, name))
+        self._count(tag, tag in FRAME, 1)
 
     def handle_endtag(self, tag) -> None:
         if tag not in INLINE:
             self.flush()
-        if any(name == tag for name, _ in self.open):
-            while True:
-                name, frame = self.open.pop()
-                self._count(name, frame, -1)
-                if name == tag:
-                    break
+        if self.tags[tag]:
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data) -> None:
         if not self.silent:
@@ -95,11 +146,29 @@ class _Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Flat blocks in page order. A tag cut off by the end of the page is dropped."""
+    """Flat blocks in page order. A tag cut off by the end of the page is dropped.
+
+    A name marks an element as frame unless the element is a wrapper: it holds most of the page's
+    unlinked text, and no text of an article or main element lies outside it.
+    """
     parser = _Blocks()
     parser.feed(CUT_TAG.sub("", html))
     parser.close()
     parser.flush()
+    outer = parser.outer
+    held, mains = [0] * (len(outer) + 1), [0] * (len(outer) + 1)  # the last is the page
+    for b in parser.blocks:
+        size = 0 if b.frame else max(0, len(b.text) - b.linked)
+        held[b.named] += size
+        mains[b.named] += size * b.inside
+    for i in range(len(outer) - 1, -1, -1):  # inner elements have larger numbers
+        held[outer[i]] += held[i]
+        mains[outer[i]] += mains[i]
+    frames = [False] * (len(outer) + 1)
+    for i, at in enumerate(outer):
+        frames[i] = frames[at] or held[i] <= MOST * held[-1] or mains[i] < mains[-1]
+    for b in parser.blocks:
+        b.frame = b.frame or frames[b.named]
     return parser.blocks
 
 
@@ -127,6 +196,20 @@ LABELLED: tuple[tuple[str, str], ...] = (
      f"<p>{_LONG}</p></div></article><div class='cookie-notice'>We use cookies</div>", "10100"),
     (f"<ul><li><a>Menu entry with words</a></li><li><a>{_LONG}</a></li></ul><p>{_LONG}</p>"
      f"<p>{_LONG} {_LONG}</p><div class='sidebar'>{_LONG} <a>more</a></div>", "00110"),
+    (f"<body class='has-sidebar'><div>Site name</div><div><a>Home</a> <a>About us</a></div><div "
+     f"class='content no-nav'><h1>Head words</h1><p>{_LONG}</p><p>Yes, so.</p><p>{_LONG}</p></div>"
+     f"<div>All rights</div><div><a>Terms</a></div></body>", "00111100"),
+    (f"<div id='main-sidebar'><div>Welcome back</div><div><a>{_LONG}</a></div><p>{_LONG}<p>{_LONG}"
+     f"</div><div>Read next <a>{_LONG}</a></div><div><a>One</a></div>", "001100"),
+    (f"<div><a>Home</a></div><p>{_LONG}</p><p>{_LONG}</p><div><a>Top</a></div><div>All rights</div>",
+     "01100"),
+    (f"<p>{_LONG}</p><div><a>Top</a></div><div>All rights</div>", "100"),
+    (f"<div><a>Home</a></div><p>{_LONG}</p><p>{_LONG}</p>", "011"), (f"<p>{_LONG}</p>", "1"),
+    (f"<main id='search'><p>{_LONG}</p><p>{_LONG}</p><p>Short end.</p></main>", "111"),
+    (f"<nav><a>Home</a></nav><p>{_LONG} {_LONG}</p><div><a>More</a></div><p>{_LONG} {_LONG}</p>", "0101"),
+    (f"<article><p>{_LONG}</p><div class='ad'><a>Buy it</a></div><p>{_LONG}</p></article>", "101"),
+    (f"<article><p>{_LONG}</p><p><a>All linked</a></p><p>Yes.</p><div class='ad'><a>Buy it</a></div>"
+     f"<p>{_LONG}</p></article>", "11101"),
 )
 Tree = tuple  # (feature, bound, below, above), or (verdict,)
 

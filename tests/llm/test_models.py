@@ -43,6 +43,29 @@ def test_odd_pages(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def test_layouts_named_like_frames():
+    say = lambda i: f"paragraph {i} of a text that runs on for a good many words and has no link at all"
+    art = "<p>" + "<p>".join(map(say, range(4)))
+    want = "\n".join(map(say, range(4)))
+    tree = extraction.trained()
+    foot = "<div><a>Home</a></div><div><a>Terms</a></div>"
+    for page in (
+            f"<body class='has-sidebar'>{art}{foot}", f"<div class='content no-nav'>{art}</div>{foot}",
+            f"<article class='post with-comments'>{art}</article>{foot}", f"<main id='search'>{art}</main>",
+            f"<html class='nav'><body id='header'><article>{art}</article>",
+            f"<div class='site-header'><div class='related wide'>{art}</div></div>{foot}",
+            f"<div><p class='ad'>Buy now.{art}</div>{foot}",
+            f"<table><tr><td class='menu'>Menu<td>{art}</table>{foot}",
+            f"<dl><dt class='promo'>Offer<dd>{art}</dl>{foot}", f"<ul><li class='ad'>Buy<li>{art}</ul>{foot}"):
+        assert extraction.main_text(page, tree) == want, page
+    assert extraction.main_text(f"<nav><a>Home</a></nav><div><a>News</a></div>{art}{foot}", tree) == want
+    linked = f"<article>{art}<div class='ad'><a>Buy it</a></div></article>"
+    assert extraction.main_text(linked, tree) == want
+    thread = "<div class='comments'>" + f"<p>{say(9)}</p>" * 9 + "</div>"
+    for page in (f"<article>{art}{thread}</article>", f"<article>{art}</article>{thread}"):
+        assert extraction.main_text(page, tree) == want, page
+
+
 def plain_katz(rows):
     toks = [[w for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))]
             + ["\n"] for _, t in rows]
