@@ -104,6 +104,17 @@ def test_weak_parts_need_each_other(edges):
     assert kinds(17) == [] and kinds(18) == [] and kinds(19) == ["access", "key"]
 
 
+def test_parts_far_apart_are_linked(spark):
+    key, gap = "key Ab3" + "xY9z" * 8, "\n# a setting\n\n" * 60
+    texts = [f"user: bob{gap}{key}", f"{key}{gap}host https://db.example.com/x{gap}user: bob",
+             f"{key}{gap}https://db.example.com/x", f"user: bob{gap}https://db.example.com/x", f"{key}{gap}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: [x.split(":")[0] for x in r[1].split(",") if x] for r in secrets.scan(df).select(
+        "row.doc_id", "spans").collect()}
+    assert [got[i] for i in range(5)] == [
+        ["identifier", "key"], ["key", "endpoint", "identifier"], ["key"], [], []]
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_personal_data(spark, sf, edges, whole):
     docs = spark.read.parquet(f"{sf}/documents.parquet") if whole else edges
