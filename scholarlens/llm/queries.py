@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
 from scholarlens.llm import (
-    decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
+    alignment, decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
     secrets)
 from scholarlens.llm.common import table
 
@@ -83,8 +83,22 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "source", "n_tokens", "weight", "n_copies")
 
 
+#: Tokenizers whose tokens are aligned.
+LEFT_TOKENIZER = "byte_bpe_50k.json"
+RIGHT_TOKENIZER = "piece_bpe_32k.model"
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    found = alignment.measured(
+        table(spark, sf_dir, "documents"), tokenizer_path(LEFT_TOKENIZER),
+        tokenizer_path(RIGHT_TOKENIZER), keep=["doc_id"])
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_html_extraction, op2_bit_packing, op3_merged_transforms, op4_jaccard_join, op5_katz_scores,
     op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data,
-    op10_temperature_mixing)}
+    op10_temperature_mixing, op12_tokenizer_alignment)}
 ORACLES: dict[str, str] = {}
