@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
 from scholarlens.llm import (
-    alignment, decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
+    alignment, conversations, decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
     secrets)
 from scholarlens.llm.common import table
 
@@ -97,8 +97,51 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "groups_sha256")
 
 
+def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix tree of all rebuilt conversations."""
+    return conversations.prefix_tree(*conversations.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_html_extraction, op2_bit_packing, op3_merged_transforms, op4_jaccard_join, op5_katz_scores,
     op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data,
-    op10_temperature_mixing, op12_tokenizer_alignment)}
-ORACLES: dict[str, str] = {}
+    op10_temperature_mixing, op11_prefix_tree, op12_tokenizer_alignment)}
+
+_TREE_SQL = """
+    WITH o AS (
+        SELECT conv_id AS c, row_number() OVER (
+                   PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+               length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS s,
+               length(coalesce(text, '')) AS len
+        FROM conversations WHERE conv_id IS NOT NULL),
+    h AS (
+        SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+                   list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                   lambda acc, x: list_reduce(range(8), lambda v, i: xor(
+                       v // 2, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END), xor(acc, x)),
+                   4294967295)) % 6 AS h
+        FROM (SELECT DISTINCT c FROM o)),
+    r AS (
+        SELECT h.c, 0 AS own, p, s, len FROM h JOIN o ON o.c = h.base AND o.p <= h.h
+        UNION ALL SELECT h.c, 1, p, s, len FROM h JOIN o ON o.c = h.c AND o.p > h.h),
+    seq AS (
+        SELECT h.c, coalesce(list(s ORDER BY own, p) FILTER (s IS NOT NULL), []) AS s,
+               list(len ORDER BY own, p) AS l
+        FROM h LEFT JOIN r ON h.c = r.c GROUP BY 1),
+    pre AS (SELECT c, d, s[1:d] AS k, CASE WHEN d = 0 THEN 0 ELSE l[d] END AS len, len(s) = d AS ended
+            FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+    node AS (
+        SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len,
+               sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends
+        FROM pre GROUP BY k, d),
+    kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+    full_ AS (SELECT node.*, coalesce(n, 0) AS n_children
+              FROM node LEFT JOIN kids ON node.k = kids.k AND node.d = kids.d)
+    SELECT n.conv_id, n.d AS depth, any_value(p.conv_id) AS parent_conv_id, any_value(n.n_convs) AS n_convs,
+           any_value(n.n_children) AS n_children, count(*) FILTER (m.n_children = 0) AS n_leaves,
+           CAST(sum((m.n_convs - 1) * m.len) AS BIGINT) AS saved_tokens, any_value(n.ends) AS ends_sha256
+    FROM full_ n JOIN full_ m ON m.d >= n.d AND m.k[1:n.d] = n.k
+    LEFT JOIN node p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+    GROUP BY n.k, n.d, n.conv_id"""
+
+ORACLES: dict[str, str] = {"op11_prefix_tree": _TREE_SQL}
