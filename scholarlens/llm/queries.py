@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
 from scholarlens.llm import (
-    alignment, conversations, decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
+    alignment, caps, conversations, decontaminate, extraction, katz, mixing, nearness, packing, personal, quality, repeats,
     secrets)
 from scholarlens.llm.common import table
 
@@ -102,10 +102,17 @@ def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_tree(*conversations.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95 or more."""
+    return caps.linked(table(spark, sf_dir, "embeddings"), keep=["vec_id"]).select(
+        "row.vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_html_extraction, op2_bit_packing, op3_merged_transforms, op4_jaccard_join, op5_katz_scores,
     op6_decontamination, op7_quality_rules, op8_secret_scan, op9_personal_data,
-    op10_temperature_mixing, op11_prefix_tree, op12_tokenizer_alignment)}
+    op10_temperature_mixing, op11_prefix_tree, op12_tokenizer_alignment,
+    op13_embedding_links)}
 
 _TREE_SQL = """
     WITH o AS (
@@ -144,4 +151,19 @@ _TREE_SQL = """
     LEFT JOIN node p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
     GROUP BY n.k, n.d, n.conv_id"""
 
-ORACLES: dict[str, str] = {"op11_prefix_tree": _TREE_SQL}
+
+#: All pairs of vectors that are neither null nor zero nor hold anything but finite numbers.
+_LINKS_SQL = """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+              UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+    SELECT e.vec_id, coalesce(n, 0) AS n_links, c AS component_id, e.vec_id = c AS kept
+    FROM embeddings e JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON e.vec_id = r.a
+    LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) k ON e.vec_id = k.a"""
+
+ORACLES: dict[str, str] = {"op11_prefix_tree": _TREE_SQL, "op13_embedding_links": _LINKS_SQL}
