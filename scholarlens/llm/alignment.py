@@ -30,9 +30,9 @@ from scholarlens.llm.common import text_of
 from scholarlens.session import written
 
 #: Characters of the texts that are aligned together; a longer text is aligned by itself.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 #: Aligned words that a task remembers; with more, the next batch begins the memory anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: How the left tokenizer parts a text before it merges bytes; a fixed value of its kind.
 WORD_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                 r"""|\s+(?!\S)|\s+""")
