@@ -435,7 +435,8 @@ def measured(docs: DataFrame, left: str, right: str, text: str = "text",
         F.sum(F.size("held").cast("long")).alias("n")), "counted")
     best = counted.groupBy("a").agg(F.max("n").alias("most"))
     known = counted.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-    each = held.join(known, ["a", "b"]).select("block", "n", "best", F.explode("held").alias("x"))
+    # merged at any size: how many pairs of ids a corpus holds is not known beforehand
+    each = held.join(known.hint("merge"), ["a", "b"]).select("block", "n", "best", F.explode("held").alias("x"))
     times = F.col("x").bitwiseAND((1 << HALF) - 1)
     sums = each.groupBy("block", F.shiftright("x", HALF).alias("doc")).agg(
         F.sum(times * F.col("n")).alias("count_sum"),
