@@ -5,15 +5,12 @@ theta: (doc_id, year, topic, theta). beta: ([level,] topic, term, logbeta).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.functions.columns import contrast_side, topic_label
-from scholarlens.session import written
 
 
 def top_per_topic(df: DataFrame, score: str, tie: str, n: int,
@@ -147,34 +144,16 @@ def temporal_index(theta: DataFrame, recent_after: int, exclude: Sequence[int] =
 def topic_correlations(theta: DataFrame, cutoff: float = 0.01) -> DataFrame:
     """Edges (src, dst, corr) of topics whose document shares correlate above the cutoff.
 
-    Every document has a share of every topic. Documents are read once; a task adds up cross
-    products of its share vectors and returns one row per topic. Only sums of the size topics x
-    topics reach the driver.
+    A document's shares meet once; its pairs of topics are read off and summed up inside the
+    task, so what is moved has a row per pair of topics. Over documents that hold both topics; a
+    topic with one and the same share everywhere has no edge.
     """
-    vectors = written(theta.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("topic", "theta"))).alias("t")).select(
-        F.col("t.topic").alias("ids"), F.col("t.theta").alias("v")), "shares")
-    ids = vectors.select("ids").first()[0]
-    k = len(ids)
-
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((k + 1, k + 1))
-        for batch in batches:
-            if len(batch):
-                x = np.hstack([np.stack(batch["v"].to_numpy()), np.ones((len(batch), 1))])
-                sums += x.T @ x
-        yield pd.DataFrame({"i": np.arange(k + 1), "v": list(sums)})
-
-    partial = vectors.select("v").mapInPandas(cross, "i int, v array<double>")
-    total = partial.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(k + 1)])
-    s = total.orderBy("i").drop("i").toArrow().to_pandas().to_numpy()
-    n, mean = s[k, k], s[:k, k] / s[k, k]
-    cov = s[:k, :k] / n - np.outer(mean, mean)
-    spread = np.sqrt(np.diag(cov))
-    edges = [(ids[i], ids[j], float(cov[i, j] / (spread[i] * spread[j])))
-             for i in range(k) for j in range(i + 1, k) if spread[i] * spread[j] > 0]
-    return theta.sparkSession.createDataFrame(edges, "src int, dst int, corr double").where(
-        F.col("corr") > cutoff)
+    shares = theta.groupBy("doc_id").agg(F.collect_list(F.struct("topic", "theta")).alias("t"))
+    pairs = shares.select("t", F.explode("t").alias("a")).select("a", F.explode("t").alias("b")).where(
+        F.col("a.topic") < F.col("b.topic"))
+    sums = pairs.groupBy(F.col("a.topic").alias("src"), F.col("b.topic").alias("dst")).agg(
+        F.corr("a.theta", "b.theta").alias("corr"))
+    return sums.where((F.col("corr") > cutoff) & ~F.isnan("corr"))
 
 
 def topic_vertices(theta: DataFrame, recent_after: int, exclude: Sequence[int] = (),

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from scholarlens.functions import columns as C
 from scholarlens.operators import topic_quality as Q
 from scholarlens.operators import topic_tables as T
-from scholarlens.operators.gram import packed_documents
-from scholarlens.operators.text import prune, vocabulary
-from scholarlens.operators.topic_fit import residual_dispersion
+from scholarlens.operators.text import prune
+from scholarlens.operators.topic_fit import build_corpus, residual_dispersion, word_blocks
 from scholarlens.plans.registry import query, r6
-from scholarlens.session import scratch_path, spread, written
+from scholarlens.session import scratch_path, written
 from scholarlens.sources import readers, writers
 from scholarlens.sources import testviews as v
 
@@ -27,18 +26,18 @@ _PREV = f"""
 _WORDS = """
     words AS (SELECT level, topic, term, logbeta, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY level, topic ORDER BY logbeta DESC, term) AS rank
-        FROM v_beta) WHERE rank <= {n}),
+        FROM {source}) WHERE rank <= {n}),
     lists AS (SELECT level, topic, string_agg(term, '{sep}' ORDER BY rank) AS top_words
               FROM words GROUP BY 1, 2)
 """
 
 
-def words_sql(n: int, sep: str = ",") -> str:
-    return _WORDS.format(n=n, sep=sep)
+def words_sql(n: int, sep: str = ",", source: str = "v_beta") -> str:
+    return _WORDS.format(n=n, sep=sep, source=source)
 
 
-def level_beta(spark, sf, level: int = 1, words=None):
-    return v.beta(spark, sf, words).where(F.col("level") == level).drop("level")
+#: Word shares of the whole corpus as the only level.
+_ALL = "(SELECT 1 AS level, * FROM v_beta_all)"
 
 
 def prev(spark, sf):
@@ -124,16 +123,16 @@ def join_doc_meta(spark, sf):
     return meta.join(F.broadcast(best), "doc_id")
 
 
-@query("join_topic_words", "v_theta v_beta", "WITH " + words_sql(15).strip() + f"""
+@query("join_topic_words", "v_theta v_beta_all", "WITH " + words_sql(15, source=_ALL).strip() + f"""
     SELECT t.topic, t.doc_id, l.top_words FROM ({_TOP_DOCS}) t
-    LEFT JOIN lists l ON t.topic = l.topic AND l.level = 1""")
+    LEFT JOIN lists l ON t.topic = l.topic""")
 def join_topic_words(spark, sf):
     words = v.stored_tok(spark, sf)
     best = T.top_documents(v.theta(spark, sf, words)).select("topic", "doc_id")
-    return best.join(T.word_lists(level_beta(spark, sf, words=words), 15), "topic", "left")
+    return best.join(T.word_lists(v.beta_all(spark, sf, words), 15), "topic", "left")
 
 
-_REPORT = "WITH " + words_sql(15).strip() + f"""
+_REPORT = f"""
     SELECT {{k}} t.topic, CAST(t.rank AS INTEGER) AS rank, t.doc_id, d.year, d.source, d.keywords,
            d.title, round(t.theta, 2) AS theta, l.top_words
     FROM ({_TOP_DOCS}) t JOIN v_doc d ON t.doc_id = d.id
@@ -150,20 +149,23 @@ def report(spark, sf):
     return T.topic_report(theta, beta, docs, keys=("k", "topic"), doc_columns=REPORT_COLUMNS)
 
 
-@query("tm_topic_report", "v_theta v_beta v_doc", _REPORT.format(k="l.level AS k,", on=""))
+@query("tm_topic_report", "v_theta v_beta v_doc",
+       "WITH " + words_sql(15).strip() + _REPORT.format(k="l.level AS k,", on=""))
 def tm_topic_report(spark, sf):
     return report(spark, sf)
 
 
-@query("prj_select_named", "v_theta v_beta v_doc", _REPORT.format(k="", on="AND l.level = 1"))
+@query("prj_select_named", "v_theta v_beta_all v_doc",
+       "WITH " + words_sql(15, source=_ALL).strip() + _REPORT.format(k="", on=""))
 def prj_select_named(spark, sf):
     words = v.stored_tok(spark, sf)
     docs = v.doc(spark, sf).withColumnRenamed("id", "doc_id")
-    return T.topic_report(v.theta(spark, sf, words), level_beta(spark, sf, words=words), docs,
+    return T.topic_report(v.theta(spark, sf, words), v.beta_all(spark, sf, words), docs,
                           doc_columns=REPORT_COLUMNS)
 
 
-@query("sink_csv_report", "v_theta v_beta v_doc", _REPORT.format(k="l.level AS k,", on=""))
+@query("sink_csv_report", "v_theta v_beta v_doc",
+       "WITH " + words_sql(15).strip() + _REPORT.format(k="l.level AS k,", on=""))
 def sink_csv_report(spark, sf):
     """The report written as headed CSV in one folder per model and read back."""
     table = report(spark, sf)
@@ -267,26 +269,26 @@ def tm_topic_vertices(spark, sf):
     return T.topic_vertices(v.theta(spark, sf), CUT, JUNK).withColumn("size", r6("size", "size"))
 
 
-@query("tm_prevalence_report", "v_theta v_beta", _PREV.rstrip() + "," + words_sql(15) + """
+@query("tm_prevalence_report", "v_theta v_beta_all", _PREV.rstrip() + "," + words_sql(15, source=_ALL) + """
     SELECT p.topic, top_words, round(theta_all, 6) AS theta_all,
            round(theta_recent, 6) AS theta_recent, round(theta_pre, 6) AS theta_pre
-    FROM prev p JOIN lists l ON p.topic = l.topic AND level = 1""")
+    FROM prev p JOIN lists l ON p.topic = l.topic""")
 def tm_prevalence_report(spark, sf):
     words = v.stored_tok(spark, sf)
-    beta = level_beta(spark, sf, words=words)
+    beta = v.beta_all(spark, sf, words)
     return T.prevalence_report(v.theta(spark, sf, words), beta, CUT).select(
         "topic", "top_words", *[r6(c, c) for c in ("theta_all", "theta_recent", "theta_pre")])
 
 
-@query("tm_summary_table", "v_theta v_beta", _PREV.rstrip() + "," + words_sql(3, ", ") + """
+@query("tm_summary_table", "v_theta v_beta_all", _PREV.rstrip() + "," + words_sql(3, ", ", _ALL) + """
     SELECT p.topic, CAST(row_number() OVER (ORDER BY theta_all DESC, p.topic DESC) AS INTEGER)
                AS rank, round(theta_all, 6) AS theta_all,
            'Topic ' || p.topic || ': ' || top_words AS label,
            round(least(max(theta_all) OVER () * 2, 1), 6) AS axis_bound
-    FROM prev p JOIN lists l ON p.topic = l.topic AND level = 1""")
+    FROM prev p JOIN lists l ON p.topic = l.topic""")
 def tm_summary_table(spark, sf):
     words = v.stored_tok(spark, sf)
-    beta = level_beta(spark, sf, words=words)
+    beta = v.beta_all(spark, sf, words)
     return T.summary_table(v.theta(spark, sf, words), beta, CUT).select(
         "topic", "rank", r6("theta_all", "theta_all"), "label", r6("axis_bound", "axis_bound"))
 
@@ -319,8 +321,8 @@ def set_union_all(spark, sf):
 # --- word contrasts --------------------------------------------------------------------------
 
 _CONTRAST = """
-    WITH l AS (SELECT term, logbeta FROM v_beta WHERE level = {l1} AND topic = {t1}),
-    r AS (SELECT term, logbeta FROM v_beta WHERE level = {l2} AND topic = {t2}),
+    WITH l AS (SELECT term, logbeta FROM {l}),
+    r AS (SELECT term, logbeta FROM {r}),
     tops AS (SELECT term, 'l' AS s FROM l ORDER BY logbeta DESC, term LIMIT 12),
     topr AS (SELECT term, 'r' AS s FROM r ORDER BY logbeta DESC, term LIMIT 12),
     w AS (SELECT term FROM tops UNION SELECT term FROM topr),
@@ -334,48 +336,52 @@ _CONTRAST_OUT = """
                 ELSE 'middle' END AS side FROM j, m"""
 
 
-def sides(spark, sf, left, right):
-    beta = v.beta(spark, sf)
-    return [beta.where((F.col("level") == lv) & (F.col("topic") == tp)).select("term", "logbeta")
-            for lv, tp in (left, right)]
+_TOPICS_1_4 = _CONTRAST.format(l="v_beta_all WHERE topic = 1", r="v_beta_all WHERE topic = 4")
 
 
-def contrast(spark, sf, left, right):
-    return T.contrast_words(*sides(spark, sf, left, right), n=25).select(
+def two_topics(spark, sf):
+    """Words of topics 1 and 4 over the whole corpus."""
+    beta = v.beta_all(spark, sf, v.stored_tok(spark, sf))
+    return [beta.where(F.col("topic") == t).select("term", "logbeta") for t in (1, 4)]
+
+
+def contrast(left, right):
+    return T.contrast_words(left, right, n=25).select(
         "term", r6("scale", "scale"), r6("diff", "diff"), "side")
 
 
-@query("tm_perspectives", "v_beta", _CONTRAST.format(l1=1, t1=1, l2=1, t2=4) + _CONTRAST_OUT)
+@query("tm_perspectives", "v_beta_all", _TOPICS_1_4 + _CONTRAST_OUT)
 def tm_perspectives(spark, sf):
     """Two topics of one model."""
-    return contrast(spark, sf, (1, 1), (1, 4))
+    return contrast(*two_topics(spark, sf))
 
 
-@query("tm_perspectives_levels", "v_beta",
-       _CONTRAST.format(l1=1, t1=2, l2=2, t2=2) + _CONTRAST_OUT)
+@query("tm_perspectives_levels", "v_beta", _CONTRAST.format(
+    l="v_beta WHERE level = 1 AND topic = 2", r="v_beta WHERE level = 2 AND topic = 2") + _CONTRAST_OUT)
 def tm_perspectives_levels(spark, sf):
     """One topic at two covariate levels."""
-    return contrast(spark, sf, (1, 2), (2, 2))
+    beta = v.beta(spark, sf, v.stored_tok(spark, sf)).where(F.col("topic") == 2)
+    return contrast(*[beta.where(F.col("level") == i).select("term", "logbeta") for i in (1, 2)])
 
 
-@query("fn_diff_class", "v_beta", _CONTRAST.format(l1=1, t1=1, l2=1, t2=4) + f"""
+@query("fn_diff_class", "v_beta_all", _TOPICS_1_4 + f"""
     SELECT side, count(*) AS words FROM ({_CONTRAST_OUT}) GROUP BY 1""")
 def fn_diff_class(spark, sf):
-    return contrast(spark, sf, (1, 1), (1, 4)).groupBy("side").agg(F.count("*").alias("words"))
+    return contrast(*two_topics(spark, sf)).groupBy("side").agg(F.count("*").alias("words"))
 
 
-@query("topk_terms_two_topics", "v_beta", _CONTRAST.format(l1=1, t1=1, l2=1, t2=4) + """
+@query("topk_terms_two_topics", "v_beta_all", _TOPICS_1_4 + """
     SELECT term, s AS side FROM tops UNION ALL SELECT term, s FROM topr""")
 def topk_terms_two_topics(spark, sf):
-    left, right = sides(spark, sf, (1, 1), (1, 4))
+    left, right = two_topics(spark, sf)
     both = left.withColumn("side", F.lit("l")).unionByName(right.withColumn("side", F.lit("r")))
     return T.top_per_topic(both, "logbeta", "term", 12, ["side"]).select("term", "side")
 
 
-@query("set_union_distinct", "v_beta", _CONTRAST.format(l1=1, t1=1, l2=1, t2=4) + """
+@query("set_union_distinct", "v_beta_all", _TOPICS_1_4 + """
     SELECT term FROM w""")
 def set_union_distinct(spark, sf):
-    return contrast(spark, sf, (1, 1), (1, 4)).select("term")
+    return contrast(*two_topics(spark, sf)).select("term")
 
 
 @query("fn_math", "v_beta", """
@@ -458,17 +464,28 @@ def tm_semantic_coherence(spark, sf):
         "coherence", r6("coherence", "c"))
 
 
+def sig(x: str) -> str:
+    """Rounded to nine significant digits, as the operators rank."""
+    size = f"pow(10.0, 8 - floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN {x} ELSE round({x} * {size}) / {size} END"
+
+
 _FREX = """
     fx AS (SELECT *, 1 / ({w} / (cume_dist() OVER (PARTITION BY level, topic ORDER BY excl))
                       + (1 - {w}) / (cume_dist() OVER (PARTITION BY level, topic ORDER BY lb)))
                   AS frex
-           FROM (SELECT level, topic, term, logbeta, exp(logbeta) AS beta, round(logbeta, 9) AS lb,
-                        round(exp(logbeta) / sum(exp(logbeta)) OVER (PARTITION BY level, term), 9)
-                        AS excl FROM v_beta))
+           FROM (SELECT *, {lb} AS lb, {ex} AS excl FROM (
+               SELECT level, topic, term, logbeta, exp(logbeta) AS beta,
+                      exp(logbeta) / sum(exp(logbeta)) OVER (PARTITION BY level, term) AS e
+               FROM v_beta)))
 """
 
 
-@query("tm_exclusivity", "v_beta", "WITH " + words_sql(10).strip() + "," + _FREX.format(w=0.7) + """
+def frex_sql(weight: float) -> str:
+    return _FREX.format(w=weight, lb=sig("logbeta"), ex=sig("e"))
+
+
+@query("tm_exclusivity", "v_beta", "WITH " + words_sql(10).strip() + "," + frex_sql(0.7) + """
     SELECT level, topic, round(sum(frex), 6) AS exclusivity
     FROM fx JOIN words USING (level, topic, term) GROUP BY 1, 2""")
 def tm_exclusivity(spark, sf):
@@ -476,49 +493,57 @@ def tm_exclusivity(spark, sf):
         "exclusivity", r6("exclusivity", "e"))
 
 
-@query("tm_label_words", "v_beta v_tok", "WITH " + _FREX.format(w=0.5).strip() + """,
+@query("tm_label_words", "v_beta v_tok", "WITH " + frex_sql(0.5).strip() + """,
     f AS (SELECT term, sum(cnt) / CAST((SELECT sum(cnt) FROM v_tok) AS DOUBLE) AS share
           FROM v_tok GROUP BY 1),
-    ml AS (SELECT term, avg(logbeta) AS ml FROM v_beta WHERE level = 1 GROUP BY 1),
-    sc AS (SELECT topic, term, beta, frex, beta / share AS lift, beta * (logbeta - ml) AS score
-           FROM fx JOIN f USING (term) JOIN ml USING (term) WHERE level = 1),
-    lg AS (SELECT topic, term, 'prob' AS label, beta AS value FROM sc
-           UNION ALL SELECT topic, term, 'frex', frex FROM sc
-           UNION ALL SELECT topic, term, 'lift', lift FROM sc
-           UNION ALL SELECT topic, term, 'score', score FROM sc)
-    SELECT topic, label, term, CAST(rank AS INTEGER) AS rank, round(value, 6) AS value FROM (
-        SELECT *, row_number() OVER (PARTITION BY topic, label
-                                     ORDER BY round(value, 9) DESC, term) AS rank FROM lg)
+    ml AS (SELECT level, term, avg(logbeta) AS ml FROM v_beta GROUP BY 1, 2),
+    sc AS (SELECT level, topic, term, beta, frex, beta / share AS lift, beta * (logbeta - ml) AS score
+           FROM fx JOIN f USING (term) JOIN ml USING (level, term)),
+    lg AS (SELECT level, topic, term, 'prob' AS label, beta AS value FROM sc
+           UNION ALL SELECT level, topic, term, 'frex', frex FROM sc
+           UNION ALL SELECT level, topic, term, 'lift', lift FROM sc
+           UNION ALL SELECT level, topic, term, 'score', score FROM sc)
+    SELECT level, topic, label, term, CAST(rank AS INTEGER) AS rank, round(value, 6) AS value FROM (
+        SELECT *, row_number() OVER (PARTITION BY level, topic, label
+                                     ORDER BY """ + sig("value") + """ DESC, term) AS rank FROM lg)
     WHERE rank <= 10""")
 def tm_label_words(spark, sf):
     words = v.stored_tok(spark, sf)
-    return Q.label_words(level_beta(spark, sf, words=words), words).select(
-        "topic", "label", "term", "rank", r6("value", "value"))
+    return Q.label_words(v.beta(spark, sf, words), words, keys=BOTH).select(
+        "level", "topic", "label", "term", "rank", r6("value", "value"))
 
 
-@query("tm_heldout", "v_tok v_theta v_beta", """
-    WITH ll AS (SELECT level, t.doc_id, t.term, any_value(cnt) AS cnt,
+@query("tm_heldout", "v_tok v_theta v_beta", f"""
+    WITH hid AS (SELECT * FROM v_tok
+                 WHERE substr(md5('1:' || doc_id), 1, 8) < '{Q.hidden_limit(0.1)}'
+                 AND substr(md5('1:' || doc_id || ':' || term), 1, 8) < '{Q.hidden_limit(0.5)}'),
+    ll AS (SELECT level, t.doc_id, t.term, any_value(cnt) AS cnt,
                        sum(theta * exp(logbeta)) AS p
-                FROM v_tok t JOIN v_beta b USING (term)
+                FROM hid t JOIN v_beta b USING (term)
                 JOIN v_theta h ON h.doc_id = t.doc_id AND h.topic = b.topic GROUP BY 1, 2, 3),
     per AS (SELECT level, doc_id, sum(cnt) AS tokens, sum(cnt * ln(p)) AS loglik
             FROM ll GROUP BY 1, 2)
     SELECT level, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens,
            round(avg(loglik / tokens), 6) AS heldout FROM per GROUP BY 1""")
 def tm_heldout(spark, sf):
-    """Score of all words under fixed shares, one row per covariate level."""
+    """Score of the hidden words under fixed shares, one row per covariate level."""
     words = v.stored_tok(spark, sf)
-    theta = v.theta(spark, sf, words).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
-    return Q.held_out_score(words.select("doc_id", "term", "cnt"), theta,
-                            v.beta(spark, sf, words), ("level",)).withColumn("heldout", r6("heldout", "h"))
+    hidden = Q.held_out_mask(words, seed=1).where("hidden").select("doc_id", "term", "cnt")
+    hidden = written(hidden, "hidden")
+    # shares of other documents and words are never looked up
+    beta = v.beta(spark, sf, words).join(hidden.select("term").distinct(), "term", "left_semi")
+    theta = v.theta(spark, sf, words).join(hidden.select("doc_id").distinct(), "doc_id", "left_semi")
+    theta = theta.withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
+    return Q.held_out_score(hidden, theta, beta, ("level",)).withColumn("heldout", r6("heldout", "h"))
 
 
 @query("tm_residuals", "v_tok v_theta v_beta", """
     WITH df AS (SELECT term FROM v_tok GROUP BY 1 HAVING count(*) > 10),
     p AS (SELECT t.doc_id, t.term, t.cnt FROM v_tok t JOIN df USING (term)),
     n AS (SELECT doc_id, CAST(sum(cnt) AS DOUBLE) AS m FROM p GROUP BY 1),
-    b AS (SELECT topic, term, exp(logbeta) / sum(exp(logbeta)) OVER (PARTITION BY topic) AS beta
-          FROM v_beta JOIN df USING (term) WHERE level = 1),
+    b AS (SELECT topic, term, beta / sum(beta) OVER (PARTITION BY topic) AS beta
+          FROM (SELECT topic, term, sum(exp(logbeta)) AS beta
+                FROM v_beta JOIN df USING (term) GROUP BY 1, 2)),
     q AS (SELECT n.doc_id, b.term, any_value(m) AS m, sum(theta * beta) AS q
           FROM n JOIN v_theta h ON n.doc_id = h.doc_id JOIN b ON b.topic = h.topic GROUP BY 1, 2),
     r AS (SELECT sum(m * q.q / (1 - q.q)
@@ -531,41 +556,44 @@ def tm_heldout(spark, sf):
                        - 5 * ((SELECT count(*) FROM df) - 1)), 6) AS dispersion
     FROM r""")
 def tm_residuals(spark, sf):
-    """Residual dispersion of the fixed shares over the pruned vocabulary."""
+    """Residual dispersion of the fixed shares, both levels together, over the pruned vocabulary."""
     words = v.stored_tok(spark, sf)
-    counts = written(prune(words, 10), "pruned")
-    vocab = written(vocabulary(counts), "vocab")
-    docs = spread(written(packed_documents(counts, vocab), "docs"))
-    joined = level_beta(spark, sf, words=words).join(vocab, "term").select(
-        (F.col("term_id") - 1).alias("idx"), "topic", F.exp("logbeta").alias("beta"))
+    corpus = build_corpus(prune(words, 10))
+    joined = written(v.beta(spark, sf, words).join(corpus.vocab.select("term"), "term").groupBy(
+        "topic", "term").agg(F.sum(F.exp("logbeta")).alias("beta")), "beta")
     total = joined.groupBy("topic").agg(F.sum("beta").alias("tot"))
     beta = joined.join(F.broadcast(total), "topic").select(
-        "idx", "topic", (F.col("beta") / F.col("tot")).alias("beta"))
-    result = residual_dispersion(docs, v.theta(spark, sf, words), beta, vocab.count(), v.TOPICS)
+        "topic", "term", (F.col("beta") / F.col("tot")).alias("beta"))
+    shares = v.theta(spark, sf, words).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("topic", "theta"))).alias("t")).select(
+        F.lit(v.TOPICS).alias("k"), "doc_id", F.col("t.theta").alias("shares"))
+    result = residual_dispersion(corpus, shares, word_blocks(corpus, beta, v.TOPICS))
     return result.select("docs", F.round("ss", 1).alias("ss"), "df",
                          r6("dispersion", "dispersion"))
 
 
-_METRICS = "WITH " + words_sql(10).strip() + "," + _FREX.format(w=0.7) + """,
-    m AS (SELECT level, topic, level * 10 + topic AS k, round(sum(frex), 6) AS exclusivity,
-                 round(avg(logbeta), 6) AS coherence
-          FROM fx JOIN (SELECT level, topic, term FROM words) USING (level, topic, term)
-          GROUP BY 1, 2)
+_METRICS = _COHERENCE + "," + frex_sql(0.7) + """,
+    ex AS (SELECT level, topic, sum(frex) AS exclusivity
+           FROM fx JOIN (SELECT level, topic, term FROM words) USING (level, topic, term) GROUP BY 1, 2),
+    ch AS (SELECT level, topic, sum(ln((docs_both + 1) / df)) AS coherence
+           FROM co JOIN d ON wi = d.term GROUP BY 1, 2),
+    m AS (SELECT level, topic, level * 10 + topic AS k, round(exclusivity, 6) AS exclusivity,
+                 round(coherence, 6) AS coherence FROM ex JOIN ch USING (level, topic))
 """
 
 
 def metrics(spark, sf):
-    """One row per (level, topic) in the shape of a sweep result."""
-    beta = written(v.beta(spark, sf), "beta")
-    excl = Q.exclusivity(beta, 10, keys=BOTH)
-    mean = T.top_words(beta, 10, keys=BOTH).groupBy("level", "topic").agg(
-        r6(F.avg("logbeta"), "coherence"))
-    return written(excl.join(mean, ["level", "topic"]).select(
+    """Coherence and exclusivity of every (level, topic), each as a fitted model of its own."""
+    words = v.stored_tok(spark, sf)
+    beta = written(v.beta(spark, sf, words), "beta")
+    both = Q.semantic_coherence(words, beta, 10, BOTH).join(
+        Q.exclusivity(beta, 10, keys=BOTH), list(BOTH))
+    return written(both.select(
         "level", "topic", (F.col("level") * 10 + F.col("topic")).alias("k"),
-        r6("exclusivity", "exclusivity"), "coherence"), "metrics")
+        r6("exclusivity", "exclusivity"), r6("coherence", "coherence")), "metrics")
 
 
-@query("tm_frontier", "v_beta", _METRICS + """
+@query("tm_frontier", "v_tok v_beta", _METRICS + """
     SELECT k, exclusivity, coherence FROM m WHERE NOT EXISTS (
         SELECT 1 FROM m o WHERE o.exclusivity >= m.exclusivity AND o.coherence >= m.coherence
         AND (o.exclusivity > m.exclusivity OR o.coherence > m.coherence))""")
@@ -581,7 +609,7 @@ _RUNS = _METRICS + """
     FROM m a JOIN m b ON a.topic = b.topic AND a.level = 1 AND b.level = 2"""
 
 
-@query("join_model_runs", "v_beta", _RUNS)
+@query("join_model_runs", "v_tok v_beta", _RUNS)
 def join_model_runs(spark, sf):
     """Two result tables side by side by number of topics."""
     table = metrics(spark, sf).drop("k").withColumnRenamed("topic", "k")

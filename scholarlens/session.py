@@ -89,6 +89,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Write ``df`` to the scratch folder stored by ``key``: joins and groups on it move no row."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option(
+        "path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a small file-backed frame, read as fewer splits than cores, over all cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -223,6 +223,19 @@ def beta(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> Da
         "level", "topic", "term", F.log(F.col("w") / F.col("tot")).alias("logbeta"))
 
 
+def beta_all(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Fixed word shares of the whole corpus (topic, term, logbeta)."""
+    per_term = (tok(spark, sf_dir) if words is None else words).groupBy("term").agg(
+        F.sum("cnt").alias("cnt"))
+    weighted = per_term.select(
+        "term", "cnt", F.explode(F.sequence(F.lit(1), F.lit(TOPICS))).alias("topic")).select(
+        "topic", "term",
+        (F.col("cnt") * F.when(F.col("topic") == term_topic("term"), 10).otherwise(1)).alias("w"))
+    totals = weighted.groupBy("topic").agg(F.sum("w").alias("tot"))
+    return weighted.join(totals, "topic").select(
+        "topic", "term", F.log(F.col("w") / F.col("tot")).alias("logbeta"))
+
+
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "v_country": ((), """
         SELECT n_name AS iso2, r_name AS region,
@@ -302,6 +315,12 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
               FROM (SELECT CASE WHEN year > {RECENT_DOC} THEN 2 ELSE 1 END AS level, term,
                            CAST(sum(cnt) AS BIGINT) AS cnt FROM v_tok GROUP BY 1, 2),
                    (SELECT CAST(unnest(range(1, {TOPICS + 1})) AS INTEGER) AS topic))"""),
+    "v_beta_all": (("v_tok",), f"""
+        SELECT topic, term, ln(w / CAST(sum(w) OVER (PARTITION BY topic) AS DOUBLE)) AS logbeta
+        FROM (SELECT topic, term,
+                     cnt * CASE WHEN length(term) % {TOPICS} + 1 = topic THEN 10 ELSE 1 END AS w
+              FROM (SELECT term, CAST(sum(cnt) AS BIGINT) AS cnt FROM v_tok GROUP BY 1),
+                   (SELECT CAST(unnest(range(1, {TOPICS + 1})) AS INTEGER) AS topic))"""),
 }
 
 

@@ -30,7 +30,7 @@ def planted(spark, n_docs=240, k=3, words=12, seed=1):
 @pytest.fixture(scope="module")
 def fitted(spark):
     corpus = TF.build_corpus(planted(spark))
-    return corpus, TF.fit_models(corpus, [3, 4], max_em_its=15)
+    return corpus, TF.fit_models(corpus, [3, 4], max_em_its=60)
 
 
 def test_tokens_cover_the_whole_text(spark):
@@ -67,24 +67,124 @@ def test_vocabulary_is_dense_and_ordered(spark):
     assert [r.term for r in vocab] == sorted(r.term for r in vocab)
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 2500])
-def test_gram_equals_brute_force(spark, block_bytes):
-    counts = planted(spark, 40)
-    vocab = X.vocabulary(counts)
-    n = vocab.count()
-    rows = GR.gram_rows(GR.packed_documents(counts, vocab), n, block_bytes).collect()
-    local = counts.join(vocab, "term").toPandas()
-    want = np.zeros((n, n))
-    for _, doc in local.groupby("doc_id"):
+def gram_of(counts, vocab):
+    """The mean co-occurrence matrix, document by document."""
+    n, local = vocab.count(), counts.join(vocab, "term").toPandas()
+    docs = [(d.term_id.to_numpy() - 1, d.cnt.to_numpy()) for _, d in local.groupby("doc_id")]
+    docs = [(i, c) for i, c in docs if c.sum() >= 2]
+    out = np.zeros((n, n))
+    for i, c in docs:
         h = np.zeros(n)
-        h[doc.term_id - 1] = doc.cnt
-        m = h.sum()
-        want += (np.outer(h, h) - np.diag(h)) / (m * (m - 1)) / 40
-    got = np.zeros((n, n))
+        h[i] = c
+        out += (np.outer(h, h) - np.diag(h)) / (h.sum() * (h.sum() - 1)) / len(docs)
+    return out
+
+
+def rows_of(corpus, blocks):
+    n, size = corpus.n_terms, corpus.block_terms
+    out = {r.block: np.frombuffer(r.v) for r in blocks.where("block >= 0").collect()}
+    return np.concatenate([out[b].reshape(min(size, n - b * size), -1) for b in sorted(out)])
+
+
+@pytest.mark.parametrize("tile,cells", [(512, 1 << 21), (7, 100)])
+def test_gram_equals_brute_force(spark, tile, cells):
+    counts = planted(spark, 40).union(spark.createDataFrame([(99, 2000, "single", 1)], "a long, b int, c string, d long"))
+    corpus = TF.build_corpus(counts, shard_cells=cells)
+    want = gram_of(counts, corpus.vocab)
+    rows = GR.cooccurrences(corpus, tile).collect()
+    got = np.zeros(want.shape)
     for r in rows:
-        got[r.row] = np.asarray(r.vals) * r.weight
+        got[r.row, r.col] += r.value
     assert np.allclose(got, want)
-    assert len({r.row for r in rows}) == len(rows)
+    assert len({(r.row, r.col) for r in rows}) == len(rows) == np.count_nonzero(want)
+
+
+def test_start_uses_exact_products_of_all_words(spark):
+    counts = planted(spark, 60)
+    corpus = TF.build_corpus(counts, block_terms=10)
+    want = gram_of(counts, corpus.vocab)
+    products = rows_of(corpus, GR.anchor_products(corpus, [3, 17]))
+    weight = want.sum(1)
+    assert np.allclose(products[:, -1] / 60, weight)
+    assert np.allclose(products[:, :2] / 60 ** 2, want @ want[:, [3, 17]])
+
+
+def greedy(rows, k):
+    """Indexes of k rows, each farthest from the span of those before."""
+    basis, out = np.zeros((0, rows.shape[1])), []
+    for _ in range(k):
+        left = (rows ** 2).sum(1) - ((rows @ basis.T) ** 2).sum(1)
+        left[out] = -1
+        out.append(int(left.argmax()))
+        rest = rows[out[-1]] - basis.T @ (basis @ rows[out[-1]])
+        basis = np.vstack([basis, rest / np.linalg.norm(rest)])
+    return out
+
+
+def test_anchors_are_greedy_on_the_projected_rows(spark):
+    counts = planted(spark, 120)
+    corpus = TF.build_corpus(counts)
+    gram = gram_of(counts, corpus.vocab)
+    n, width = corpus.n_terms, 128
+    projected = rows_of(corpus, GR.projected_rows(corpus, width))
+    marks = GR.signs(np.arange(n), width) / np.sqrt(width)
+    assert np.allclose(projected / 120, np.hstack([gram @ marks, gram.sum(1, keepdims=True)]))
+    scaled = gram / gram.sum(1, keepdims=True)
+    anchors = TF.anchors_of(corpus, 3)
+    assert anchors == greedy(scaled @ marks, 3)
+    topic = [r.term[:2] for r in corpus.vocab.orderBy("term_id").collect()]
+    assert len({topic[a] for a in anchors}) == 3
+
+
+def test_anchors_reach_rare_words_of_a_large_vocabulary(spark):
+    """Two words beyond the 10,000 most frequent part their documents from all others."""
+    rows = [(d, 2000, f"w{(d * 40 + i) % 12_000:05d}", 2) for d in range(600) for i in range(40)]
+    rows += [(1000 + d, 2000, w, 1) for d in range(2) for w in ("zrare", "ztwin")]
+    corpus = TF.build_corpus(spark.createDataFrame(rows, "doc_id long, year int, term string, cnt long"))
+    ids = {r.term_id - 1 for r in corpus.vocab.where("term in ('zrare', 'ztwin')").collect()}
+    assert corpus.n_terms == 12_002 and set(TF.anchors_of(corpus, 2)) & ids
+
+
+def test_fit_does_not_depend_on_the_layout(spark, fitted):
+    counts = planted(spark)
+    whole = TF.fit_models(TF.build_corpus(counts), [3], max_em_its=4, tol=0)[3]
+    corpus = TF.build_corpus(counts, shard_cells=200, block_terms=5)
+    assert len(corpus.shards) > 8
+    cut = TF.fit_models(corpus, [3], max_em_its=4, tol=0)[3]
+    assert np.allclose(whole.bounds, cut.bounds)
+    assert np.allclose(whole.bounds, fitted[1][3].bounds[:4])
+    theta = [TF.model_theta(c, [m]).orderBy("doc_id", "topic").toPandas().theta
+             for c, m in ((fitted[0], whole), (corpus, cut))]
+    assert np.allclose(*theta)
+
+
+def test_a_fit_ends_when_its_bound_settles(fitted):
+    _, models = fitted
+    for m in models.values():
+        last = abs(m.bounds[-1] - m.bounds[-2]) < 1e-5 * abs(m.bounds[-2])
+        assert m.converged == last and len(m.bounds) <= 60
+    assert models[3].converged and models[3].unsettled == 0
+
+
+def test_residuals_equal_brute_force(fitted):
+    corpus, models = fitted
+    shares = TF.doc_shares(corpus, list(models.values()))
+    got = {r.k: r for r in TF.residual_dispersion(
+        corpus, shares, TF.share_blocks(list(models.values())), {k: m.totals for k, m in models.items()}).collect()}
+    local = corpus.counts.join(corpus.vocab, "term").toPandas()
+    for k, m in models.items():
+        b = rows_of(corpus, m.shares) / m.totals
+        ss, cells = 0.0, 0
+        theta = {r.doc_id: np.array(r.shares) for r in shares.where(F.col("k") == k).collect()}
+        for d, doc in local.groupby("doc_id"):
+            h = np.zeros(corpus.n_terms)
+            h[doc.term_id - 1] = doc.cnt
+            n, q = h.sum(), b @ theta[d]
+            ss += ((h - n * q) ** 2 / (n * q * (1 - q))).sum()
+            cells += (n * q > 0.01).sum()
+        free = cells - len(theta) * (k - 1) - k * (corpus.n_terms - 1)
+        assert got[k].docs == len(theta) and got[k].df == free
+        assert got[k].ss == pytest.approx(ss)
 
 
 def test_fit_recovers_planted_topics(spark, fitted):
@@ -92,7 +192,7 @@ def test_fit_recovers_planted_topics(spark, fitted):
     model = models[3]
     assert len(set(model.anchors)) == 3
     assert all(b >= a - 1e-6 * abs(a) for a, b in zip(model.bounds, model.bounds[1:]))
-    assert np.allclose(model.beta.sum(axis=1), 1)
+    assert np.allclose(rows_of(corpus, model.shares).sum(axis=0), model.totals)
     theta = TF.model_theta(corpus, [model]).toPandas().pivot(
         index="doc_id", columns="topic", values="theta")
     assert len(theta) == 240 and np.allclose(theta.sum(axis=1), 1, atol=1e-6)
@@ -105,31 +205,6 @@ def test_fit_recovers_planted_topics(spark, fitted):
         ("t0",), ("t1",), ("t2",)}
 
 
-def test_a_model_fits_alike_alone_together_and_unbroadcast(spark, fitted):
-    corpus, models = fitted
-    alone = TF.fit_models(corpus, [3], max_em_its=4, tol=0)[3]
-    joined = TF.fit_models(corpus, [3], max_em_its=4, tol=0, broadcast_limit=0)[3]
-    assert joined.beta is None and joined.beta_table is not None
-    assert np.allclose(alone.bounds, joined.bounds)
-    assert np.allclose(alone.bounds, models[3].bounds[:4])
-    a = TF.model_beta(corpus, [alone]).withColumn("p", F.round(F.exp("logbeta"), 8))
-    b = TF.model_beta(corpus, [joined]).withColumn("p", F.round(F.exp("logbeta"), 8))
-    keys = ["topic", "term", "p"]
-    assert a.where("p > 0").select(keys).exceptAll(b.select(keys)).count() == 0
-    theta = [TF.model_theta(corpus, [m]).orderBy("doc_id", "topic").toPandas().theta
-             for m in (alone, joined)]
-    assert np.allclose(*theta)
-
-
-def test_start_with_capped_words_covers_the_vocabulary(spark, fitted, monkeypatch):
-    corpus, _ = fitted
-    monkeypatch.setattr(TF, "START_TERMS", 20)
-    anchors, table = TF.spectral_start(corpus, [3])[3]
-    rows = table.collect()
-    assert len(rows) == corpus.n_terms and len(set(anchors)) == 3
-    assert np.allclose(np.sum([r.b for r in rows], axis=0), 1)
-
-
 def test_held_out_mask_is_stable_and_partial(spark):
     counts = planted(spark)
     a, b = (Q.held_out_mask(counts, seed=1).where("hidden") for _ in range(2))
