@@ -20,6 +20,10 @@ KINGDOM_GROUPS = {"Fungi": (5,), "Other": (2, 3, 4, 7, 8), "Plants": (6,)}
 ANIMAL_KINGDOM = 1
 VERTEBRATE_PHYLUM = 44
 
+# Keys of a nested map document, read and written alike.
+MAP_KEYS = {"layers": "datasets", "version": "version", "layer": "data", "id": "id",
+            "label": "label", "rows": "allData"}
+
 # Common English function words left out of the vocabulary.
 STOPWORDS = tuple(
     """a about above after again against all am an and any are as at be because been before

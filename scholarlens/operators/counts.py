@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.functions.columns import condition_holds, percent
 from scholarlens.operators.ranks import cumulative_counts
+from scholarlens.session import written
 
 
 def group_count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -49,7 +50,7 @@ def with_count_rank(counts: DataFrame, count: str = "n", descending: bool = True
 
 def factor_summary(df: DataFrame, column: str, max_levels: int = 100) -> DataFrame:
     """Level frequencies; past ``max_levels`` the rarest fold into ``(Other)``."""
-    counts = group_count(df.where(F.col(column).isNotNull()), column)
+    counts = written(group_count(df.where(F.col(column).isNotNull()), column), "levels")
     if_few = counts.agg(F.count("*") <= max_levels).scalar()
     lead = counts.orderBy(F.desc("n"), column)
     top = lead.limit(max_levels - 1).select(F.col(column).alias("top_level"))
@@ -58,6 +59,18 @@ def factor_summary(df: DataFrame, column: str, max_levels: int = 100) -> DataFra
             .groupBy(level.alias(column)).agg(F.sum("n").alias("n")))
 
 
+def complete_pairs(counts: DataFrame, key: str, dim_key: str, dim: DataFrame) -> DataFrame:
+    """Counts for every seen ``key`` and every entry of the dimension, absent pairs as zero.
+
+    The entries of the dimension travel as one list and are opened per distinct key, so neither
+    the data nor the counts are multiplied out.
+    """
+    entries = dim.agg(F.array_sort(F.collect_set(dim_key))).scalar()
+    spine = counts.select(key).distinct().withColumn(dim_key, F.explode(entries))
+    return spine.join(counts, [key, dim_key], "left").select(
+        key, dim_key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def papers_per_year(df: DataFrame, cites_doi: Column) -> DataFrame:
     return df.groupBy("year").agg(F.count("*").alias("papers"),
                                   F.sum(cites_doi).alias("papers_doi"))

@@ -152,7 +152,8 @@ def topic_correlations(theta: DataFrame, cutoff: float = 0.01) -> DataFrame:
     pairs = shares.select("t", F.explode("t").alias("a")).select("a", F.explode("t").alias("b")).where(
         F.col("a.topic") < F.col("b.topic"))
     sums = pairs.groupBy(F.col("a.topic").alias("src"), F.col("b.topic").alias("dst")).agg(
-        F.corr("a.theta", "b.theta").alias("corr"))
+        F.try_divide(F.covar_pop("a.theta", "b.theta"),
+                     F.stddev_pop("a.theta") * F.stddev_pop("b.theta")).alias("corr"))
     return sums.where((F.col("corr") > cutoff) & ~F.isnan("corr"))
 
 

@@ -41,6 +41,55 @@ def src_csv_bib(spark, sf):
     return readers.read_csv(spark, path, table.schema)
 
 
+def snapshot_file(spark, sf):
+    """Snapshots as a CSV; sizes of the basis ``OTHER`` are written as a text that is no number."""
+    rows = v.snap(spark, sf).select(
+        F.date_format("snapshot_date", "M/d/yy").alias("snapshot_date"), "datasetkey",
+        "basis_of_record", "tagged_citizen_science",
+        F.when(F.col("basis_of_record") == "OTHER", F.lit("not counted")).otherwise(
+            F.col("occurrence_count").cast("string")).alias("occurrence_count"))
+    path = scratch_path(spark, "snapshots_csv")
+    rows.write.csv(path, header=True, escape='"')
+    return path
+
+
+@query("src_csv_snapshots", "v_snap", "SELECT * FROM v_snap WHERE basis_of_record <> 'OTHER'")
+def src_csv_snapshots(spark, sf):
+    """Dated dataset sizes out of a CSV, typed; lines that do not fit are not among them."""
+    return readers.read_snapshots(spark, snapshot_file(spark, sf))[0]
+
+
+@query("src_csv_rejects", "v_snap", """
+    SELECT 'malformed' AS reason, count(*) AS lines, count(DISTINCT datasetkey) AS datasets
+    FROM v_snap WHERE basis_of_record = 'OTHER'""")
+def src_csv_rejects(spark, sf):
+    """Rejected lines of the same CSV."""
+    rejects = readers.read_snapshots(spark, snapshot_file(spark, sf))[1]
+    return rejects.groupBy("reason").agg(
+        F.count("*").alias("lines"), F.count_distinct(F.split_part("line", F.lit(","), F.lit(2))).alias("datasets"))
+
+
+@query("src_csv_citations", "v_cite", "SELECT * FROM v_cite")
+def src_csv_citations(spark, sf):
+    path = scratch_path(spark, "citations_csv")
+    v.cite(spark, sf).write.csv(path, header=True)
+    return readers.read_citations(spark, path)[0]
+
+
+@query("src_csv_occurrences", "v_occ", """
+    SELECT CAST(kingdom AS VARCHAR) AS kingdom, CAST(sum(occurrence_count) AS BIGINT) AS occurrences
+    FROM v_occ GROUP BY 1""")
+def src_csv_occurrences(spark, sf):
+    """Occurrences per kingdom out of a CSV with a date text."""
+    path = scratch_path(spark, "occurrences_csv")
+    v.occ(spark, sf).select(
+        F.lit("7/1/20").alias("snapshot"), F.col("kingdom").cast("string"), F.lit(None).cast("string").alias(
+            "basisOfRecord"), F.col("occurrence_count").alias("occurrenceCount")).write.csv(path, header=True)
+    rows = readers.read_occurrence_counts(spark, path)[0].where(F.col("snapshot") == F.make_date(
+        F.lit(2020), F.lit(7), F.lit(1)))
+    return rows.groupBy("kingdom").agg(F.sum("occurrenceCount").alias("occurrences"))
+
+
 @query("src_country_dim", "v_country", "SELECT * FROM v_country")
 def src_country_dim(spark, sf):
     path = scratch_path(spark, "countries")
@@ -282,18 +331,22 @@ def region_authorship(spark, sf):
         "prop_all", r6("prop_all", "p"))
 
 
-@query("join_domain_complete", "v_bib v_country", f"""
-    WITH rows AS (SELECT unnest(string_split(countries_coverage, ',')) AS code FROM v_bib
-                  WHERE taxonomic_group = 'MACHINERY'),
-    counts AS (SELECT iso2, count(*) AS n FROM rows JOIN v_country ON code = iso2 GROUP BY 1)
-    SELECT c.iso2, coalesce(n, 0) AS n FROM v_country c LEFT JOIN counts USING (iso2)""")
+@query("join_domain_complete", "v_bib v_country", """
+    WITH rows AS (SELECT n_downloads, unnest(string_split(countries_coverage, ',')) AS code
+                  FROM v_bib WHERE n_downloads IS NOT NULL),
+    counts AS (SELECT n_downloads, iso2, count(*) AS n FROM rows JOIN v_country ON code = iso2
+               GROUP BY 1, 2)
+    SELECT d.n_downloads, c.iso2, coalesce(n, 0) AS n
+    FROM (SELECT DISTINCT n_downloads FROM counts) d CROSS JOIN v_country c
+    LEFT JOIN counts USING (n_downloads, iso2)""")
 def join_domain_complete(spark, sf):
-    """Every country of the dimension, countries without such a study as zero."""
+    """Studies of every country by number of downloads, absent pairs as zero."""
     dim = v.country(spark, sf).select("iso2")
-    studies = v.bib(spark, sf).where(F.col("taxonomic_group") == "MACHINERY")
+    studies = v.studies(spark, sf).where(F.col("n_downloads").isNotNull())
     rows = M.separate_rows(studies, "countries_coverage", out="iso2").join(
         dim, "iso2", "left_semi")
-    return N.complete_domain(N.group_count(rows, "iso2"), "iso2", dim)
+    counts = rows.groupBy("n_downloads", "iso2").agg(F.count("*").alias("n"))
+    return N.complete_pairs(counts, "n_downloads", "iso2", dim)
 
 
 @query("join_complement", "v_occ", """

@@ -6,30 +6,23 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholarlens.functions import columns as C
-from scholarlens.functions.fixed import BASIS_CLASSES
 from scholarlens.functions.tails import normal_two_sided, student_two_sided
 from scholarlens.operators import citations as D
 from scholarlens.operators import counts as N
 from scholarlens.operators import growth as G
 from scholarlens.operators import ranks as R
 from scholarlens.plans.registry import query, r6
+from scholarlens.session import written
 from scholarlens.sources import testviews as v
 
 CUT = v.RECENT_STUDY
 
 
-def _basis_sql(column: str = "basis_of_record") -> str:
-    cases = " ".join(
-        f"WHEN {column} IN ({', '.join(repr(m) for m in members)}) THEN '{name}'"
-        for name, members in BASIS_CLASSES.items())
-    return f"CASE {cases} END"
-
-
 def snap(spark, sf):
     return v.snap(spark, sf).withColumn("basis2", C.basis_class("basis_of_record"))
 
 
-_SNAP = f"WITH s AS (SELECT *, {_basis_sql()} AS basis2 FROM v_snap) "
+_SNAP = f"WITH s AS (SELECT *, {v.basis_sql()} AS basis2 FROM v_snap) "
 _LATEST = ("WITH s AS (SELECT * FROM v_snap WHERE snapshot_date = "
            "(SELECT max(snapshot_date) FROM v_snap)) ")
 
@@ -165,7 +158,7 @@ def fn_journal_norm(spark, sf):
     WITH j AS (SELECT lower(trim(source)) AS journal, count(*) AS n FROM v_bib GROUP BY 1),
     m AS (SELECT lower(trim(o_orderpriority)) AS journal, c_mktsegment AS discipline,
                  count(*) / sum(count(*)) OVER (PARTITION BY lower(trim(o_orderpriority))) AS weight
-          FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1, 2)
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
     SELECT discipline, round(sum(n * weight), 6) AS papers, count(*) AS journals,
            round(sum(n * weight) / (SELECT sum(n) FROM j) * 100, 6) AS share
     FROM j JOIN m USING (journal) GROUP BY 1""")
@@ -173,7 +166,7 @@ def map_journal_discipline(spark, sf):
     """Papers per discipline through a weighted journal-to-discipline table."""
     journals = N.normalised_journals(v.bib_core(spark, sf))
     orders = v.table(spark, sf, "orders")
-    buyers = v.table(spark, sf, "customer").where("c_acctbal > 0")
+    buyers = v.table(spark, sf, "customer")
     mapping = orders.join(buyers, orders.o_custkey == buyers.c_custkey).groupBy(
         F.lower(F.trim("o_orderpriority")).alias("journal"),
         F.col("c_mktsegment").alias("discipline")).agg(F.count("*").alias("links"))
@@ -323,11 +316,13 @@ def join_left_citations(spark, sf):
 
 @query("win_group_sum_keep_rows", "v_dsum", """
     SELECT datasetkey, basis_of_record, tagged_citizen_science, citations, total_occurrences,
-           round(citations_per_record, 6) AS citations_per_record FROM v_dsum""")
+           round(citations_per_record, 6) AS citations_per_record, basis2, part_occurrences,
+           round(citations_per_part_record, 6) AS citations_per_part_record FROM v_dsum""")
 def win_group_sum_keep_rows(spark, sf):
     return v.dsum(spark, sf).select(
         "datasetkey", "basis_of_record", "tagged_citizen_science", "citations",
-        "total_occurrences", r6("citations_per_record", "citations_per_record"))
+        "total_occurrences", r6("citations_per_record", "citations_per_record"), "basis2",
+        "part_occurrences", r6("citations_per_part_record", "citations_per_part_record"))
 
 
 @query("win_midrank", "v_dsum", """
@@ -366,17 +361,17 @@ def agg_median_iqr(spark, sf):
         "median", r6("median", "m")).withColumn("iqr", r6("iqr", "i"))
 
 
-@query("agg_median_iqr_basis", "v_dsum", f"""
-    WITH l AS (SELECT {_basis_sql()} AS basis2, 'citations' AS measure,
-                      CAST(citations AS DOUBLE) AS x FROM v_dsum
-               UNION ALL SELECT {_basis_sql()}, 'citations_per_record',
-                                citations_per_record FROM v_dsum)
+@query("agg_median_iqr_basis", "v_dsum", """
+    WITH l AS (SELECT basis2, 'citations' AS measure, CAST(citations AS DOUBLE) AS x FROM v_dsum
+               UNION ALL SELECT basis2, 'citations_per_part_record',
+                                citations_per_part_record FROM v_dsum)
     SELECT basis2, measure, count(*) AS count, round(median(x), 6) AS median,
            round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr
     FROM l GROUP BY 1, 2""")
 def agg_median_iqr_basis(spark, sf):
-    rows = v.dsum(spark, sf).withColumn("basis2", C.basis_class("basis_of_record"))
-    return R.median_iqr(rows, "basis2", ["citations", "citations_per_record"]).withColumn(
+    """Per class of record, over the records of that class alone."""
+    return R.median_iqr(v.dsum(spark, sf), "basis2",
+                        ["citations", "citations_per_part_record"]).withColumn(
         "median", r6("median", "m")).withColumn("iqr", r6("iqr", "i"))
 
 
@@ -427,12 +422,45 @@ def stat_wilcoxon_per_record(spark, sf):
 
 
 @query("stat_wilcoxon_basis", "v_dsum", _WILCOXON.format(
-    rows=f"SELECT nullif({_basis_sql()}, 'Unknown') AS g, citations AS x FROM v_dsum",
+    rows="SELECT nullif(basis2, 'Unknown') AS g, citations AS x FROM v_dsum",
     first="'Observation-based'"))
 def stat_wilcoxon_basis(spark, sf):
-    rows = v.dsum(spark, sf).withColumn("basis2", C.basis_class("basis_of_record"))
-    return R.rank_sum_test(rows.where(F.col("basis2") != "Unknown"), "citations", "basis2",
-                           "Observation-based").withColumn("z", r6("z", "z"))
+    return R.rank_sum_test(v.dsum(spark, sf).where(F.col("basis2") != "Unknown"), "citations",
+                           "basis2", "Observation-based").withColumn("z", r6("z", "z"))
+
+
+@query("stat_wilcoxon_basis_per_record", "v_dsum", _WILCOXON.format(
+    rows="SELECT nullif(basis2, 'Unknown') AS g, citations_per_part_record AS x FROM v_dsum",
+    first="'Observation-based'"))
+def stat_wilcoxon_basis_per_record(spark, sf):
+    return R.rank_sum_test(
+        v.dsum(spark, sf).where(F.col("basis2") != "Unknown"), "citations_per_part_record",
+        "basis2", "Observation-based").withColumn("z", r6("z", "z"))
+
+
+@query("agg_boxplot_outliers", "v_dsum", """
+    WITH q AS (SELECT quantile_cont(citations, 0.25) AS q1, quantile_cont(citations, 0.75) AS q3
+               FROM v_dsum)
+    SELECT datasetkey, basis_of_record, citations, total_occurrences FROM v_dsum, q
+    WHERE citations NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
+def agg_boxplot_outliers(spark, sf):
+    """Rows whose citations lie outside the fences."""
+    return R.box_outliers(written(v.dsum(spark, sf), "cited"), "citations").select(
+        "datasetkey", "basis_of_record", "citations", "total_occurrences")
+
+
+@query("agg_cited_boxplot", "v_dsum", """
+    WITH q AS (SELECT quantile_cont(citations, 0.25) AS q1, median(citations) AS med,
+                      quantile_cont(citations, 0.75) AS q3 FROM v_dsum),
+    f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+    SELECT count(citations) AS n, min(citations) FILTER (WHERE citations BETWEEN lo AND hi) AS whisker_low,
+           round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3,
+           max(citations) FILTER (WHERE citations BETWEEN lo AND hi) AS whisker_high,
+           count(*) FILTER (WHERE citations NOT BETWEEN lo AND hi) AS n_outliers
+    FROM v_dsum, f""")
+def agg_cited_boxplot(spark, sf):
+    box = R.box_stats(v.dsum(spark, sf), "citations")
+    return box.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
 @query("stat_wilcoxon_p", "v_dsum", "WITH t AS (" + _WILCOXON.format(

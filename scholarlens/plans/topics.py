@@ -94,9 +94,7 @@ def gen_topic_labels(spark, sf):
     SELECT doc_id, topic, round(theta, 6) AS theta FROM v_theta""")
 def fn_row_ordinal(spark, sf):
     """Position in a share vector as topic id."""
-    vectors = v.theta(spark, sf).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("topic", "theta"))).alias("t"))
-    return vectors.select("doc_id", F.posexplode("t.theta").alias("pos", "theta")).select(
+    return v.theta_vectors(spark, sf).select("doc_id", F.posexplode("shares").alias("pos", "theta")).select(
         "doc_id", (F.col("pos") + 1).alias("topic"), r6("theta", "theta"))
 
 
@@ -564,9 +562,7 @@ def tm_residuals(spark, sf):
     total = joined.groupBy("topic").agg(F.sum("beta").alias("tot"))
     beta = joined.join(F.broadcast(total), "topic").select(
         "topic", "term", (F.col("beta") / F.col("tot")).alias("beta"))
-    shares = v.theta(spark, sf, words).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("topic", "theta"))).alias("t")).select(
-        F.lit(v.TOPICS).alias("k"), "doc_id", F.col("t.theta").alias("shares"))
+    shares = v.theta_vectors(spark, sf, words).select(F.lit(v.TOPICS).alias("k"), "doc_id", "shares")
     result = residual_dispersion(corpus, shares, word_blocks(corpus, beta, v.TOPICS))
     return result.select("docs", F.round("ss", 1).alias("ss"), "df",
                          r6("dispersion", "dispersion"))

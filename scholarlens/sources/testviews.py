@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlens.functions.columns import paste
-from scholarlens.functions.fixed import SENTINEL
-from scholarlens.operators.citations import with_citations, with_group_totals
+from scholarlens.functions.columns import basis_class, paste
+from scholarlens.functions.fixed import BASIS_CLASSES, SENTINEL
+from scholarlens.operators.citations import with_both_totals, with_citations
 from scholarlens.operators.growth import latest_snapshot
 from scholarlens.operators.text import doc_terms, tokens
 from scholarlens.session import widen, written
@@ -135,13 +135,18 @@ def cite(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def latest_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshot with citations; the snapshots are worked out once and stored."""
+    stored = written(snap(spark, sf_dir), "snapshots")
+    return written(with_citations(latest_snapshot(stored, "snapshot_date"), cite(spark, sf_dir)), "cited")
+
+
 def dsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest snapshot with citations, totals repeated on every input row."""
-    recent = latest_snapshot(snap(spark, sf_dir), "snapshot_date")
-    return with_group_totals(
-        with_citations(recent, cite(spark, sf_dir)),
-        ["datasetkey", "snapshot_date", "tagged_citizen_science", "citations"],
-    )
+    """Latest snapshot with citations and their class of record, totals of both groupings on
+    every input row."""
+    rows = latest_cited(spark, sf_dir).withColumn("basis2", basis_class("basis_of_record"))
+    return with_both_totals(
+        rows, ["datasetkey", "snapshot_date", "tagged_citizen_science", "citations"], "basis2")
 
 
 def occ(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +194,8 @@ def term_topic(term: str | Column) -> Column:
     return F.length(term) % TOPICS + 1
 
 
-def theta(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
-    """Fixed document-topic shares (doc_id, year, topic, theta) in long form.
+def theta_vectors(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Fixed document-topic shares as lists: (doc_id, year, shares).
 
     ``words`` is the document-term table, if the caller has it stored.
     """
@@ -198,9 +203,14 @@ def theta(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> D
     own = [F.sum(F.when(term_topic("term") == k, F.col("cnt")).otherwise(0)).alias(f"t{k}")
            for k in range(1, TOPICS + 1)]
     per_doc = words.groupBy("doc_id", "year").agg(F.sum("cnt").alias("n"), *own)
-    shares = F.array(*[(F.col(f"t{k}") + 1) / (F.col("n") + TOPICS)
-                       for k in range(1, TOPICS + 1)])
-    return per_doc.select("doc_id", "year", F.posexplode(shares).alias("pos", "theta")).select(
+    return per_doc.select("doc_id", "year", F.array(*[
+        (F.col(f"t{k}") + 1) / (F.col("n") + TOPICS) for k in range(1, TOPICS + 1)]).alias("shares"))
+
+
+def theta(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Fixed document-topic shares (doc_id, year, topic, theta) in long form."""
+    return theta_vectors(spark, sf_dir, words).select(
+        "doc_id", "year", F.posexplode("shares").alias("pos", "theta")).select(
         "doc_id", "year", (F.col("pos") + 1).alias("topic"), "theta")
 
 
@@ -236,6 +246,14 @@ def beta_all(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -
         "topic", "term", F.log(F.col("w") / F.col("tot")).alias("logbeta"))
 
 
+def basis_sql(column: str = "basis_of_record") -> str:
+    """The class of a basis of record as SQL."""
+    cases = " ".join(
+        f"WHEN {column} IN ({', '.join(repr(m) for m in members)}) THEN '{name}'"
+        for name, members in BASIS_CLASSES.items())
+    return f"CASE {cases} END"
+
+
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "v_country": ((), """
         SELECT n_name AS iso2, r_name AS region,
@@ -276,14 +294,16 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CAST(l_partkey AS VARCHAR) AS datasetkey,
                count(*) FILTER (WHERE l_quantity > 47) AS citations
         FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1"""),
-    "v_dsum": (("v_snap", "v_cite"), """
-        SELECT s.datasetkey, snapshot_date, tagged_citizen_science, citations, basis_of_record,
-               occurrence_count,
-               CAST(sum(occurrence_count) OVER g AS BIGINT) AS total_occurrences,
-               citations / CAST(sum(occurrence_count) OVER g AS DOUBLE) AS citations_per_record
-        FROM v_snap s LEFT JOIN v_cite c ON s.datasetkey = c.datasetkey
-        WHERE snapshot_date = (SELECT max(snapshot_date) FROM v_snap)
-        WINDOW g AS (PARTITION BY s.datasetkey, snapshot_date, tagged_citizen_science, citations)"""),
+    "v_dsum": (("v_snap", "v_cite"), f"""
+        SELECT *, citations / CAST(total_occurrences AS DOUBLE) AS citations_per_record,
+               citations / CAST(part_occurrences AS DOUBLE) AS citations_per_part_record
+        FROM (SELECT *, CAST(sum(occurrence_count) OVER g AS BIGINT) AS total_occurrences,
+                     CAST(sum(occurrence_count) OVER p AS BIGINT) AS part_occurrences
+              FROM (SELECT s.*, citations, {basis_sql()} AS basis2
+                    FROM v_snap s LEFT JOIN v_cite c ON s.datasetkey = c.datasetkey
+                    WHERE snapshot_date = (SELECT max(snapshot_date) FROM v_snap))
+              WINDOW g AS (PARTITION BY datasetkey, snapshot_date, tagged_citizen_science, citations),
+                     p AS (PARTITION BY datasetkey, snapshot_date, tagged_citizen_science, citations, basis2))"""),
     "v_occ": ((), """
         SELECT p_size % 9 AS kingdom,
                CASE WHEN p_size % 9 = 1 AND p_type IN ('ECONOMY', 'SMALL') THEN 44 END AS phylum,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholarlens.functions.fixed import MAP_KEYS
+
 
 def map_documents(counts: DataFrame) -> DataFrame:
     """One JSON text per layer from (layer, code, count, lat, lon, name).
@@ -23,9 +25,11 @@ def map_documents(counts: DataFrame) -> DataFrame:
 def write_map(counts: DataFrame, path: str) -> None:
     """Write one nested map document per layer, a text line each."""
     layer = F.regexp_extract(F.to_json(F.array("layer")), r"^\[(.*)\]$", 1)
+    key = MAP_KEYS
+    head = f'{{"{key["layers"]}":[{{"{key["version"]}":"v1","{key["layer"]}":{{"{key["id"]}":'
     map_documents(counts).select(F.concat(
-        F.lit('{"datasets":[{"version":"v1","data":{"id":'), layer, F.lit(',"label":'), layer,
-        F.lit(',"allData":'), F.col("all_data"), F.lit("}}]}")).alias("value")).write.text(path)
+        F.lit(head), layer, F.lit(f',"{key["label"]}":'), layer, F.lit(f',"{key["rows"]}":'),
+        F.col("all_data"), F.lit("}}]}")).alias("value")).write.text(path)
 
 
 def write_report(df: DataFrame, path: str, *partition: str) -> None:

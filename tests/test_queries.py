@@ -3,6 +3,7 @@
 A spread of families by default; ``ALL_QUERIES=1`` runs every query that has SQL.
 """
 
+import math
 import os
 
 import duckdb
@@ -16,7 +17,10 @@ SOME = (
     "src_csv_bib src_map_json sink_map_json region_coverage region_authorship "
     "agg_total_and_parts agg_count_distinct win_group_sum_keep_rows agg_median_iqr "
     "stat_wilcoxon_p txt_doc_term txt_threshold_sweep tm_topic_report tm_temporal_index "
-    "tm_perspectives tm_label_words tm_residuals").split()
+    "tm_perspectives tm_label_words tm_residuals tm_gram tm_heldout tm_exclusivity tm_topic_corr "
+    "tm_frontier join_model_runs join_domain_complete gen_threshold_grid agg_median_iqr_basis "
+    "stat_wilcoxon_basis_per_record agg_boxplot_outliers map_journal_discipline "
+    "txt_stem_counts src_csv_snapshots src_csv_rejects").split()
 ORACLES = oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else SOME
 
@@ -62,3 +66,10 @@ def test_flagship(spark):
 def test_fitted_queries_hold_their_invariants(spark, sf):
     theta = queries()["tm_fit"](spark, sf).groupBy("doc_id").agg({"theta": "sum"}).collect()
     assert len(theta) > 100 and all(abs(r[1] - 1) < 1e-6 for r in theta)
+
+
+def test_sweep_gives_every_measure_of_settled_models(spark, sf):
+    rows = queries()["tm_search_k"](spark, sf).collect()
+    assert sorted(r.k for r in rows) == [3, 4, 5] and all(r.converged for r in rows)
+    assert all(math.isfinite(r[c]) for r in rows for c in (
+        "coherence", "exclusivity", "heldout", "residual", "bound"))
