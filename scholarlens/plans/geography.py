@@ -331,6 +331,34 @@ def region_authorship(spark, sf):
         "prop_all", r6("prop_all", "p"))
 
 
+@query("region_authorship_all", "v_bib v_country", f"""
+    WITH rows AS (SELECT unnest(coalesce(string_split(countries_researcher, ','), [null])) AS code
+                  FROM v_bib WHERE year > {CUT}),
+    counts AS (SELECT region, count(*) AS n FROM rows LEFT JOIN v_country ON code = iso2 GROUP BY 1),
+    every AS (SELECT DISTINCT region FROM v_country UNION SELECT NULL FROM counts WHERE region IS NULL)
+    SELECT coalesce(e.region, '{UNMATCHED_REGION}') AS region, coalesce(n, 0) AS n,
+           round(coalesce(n, 0) / CAST((SELECT sum(n) FROM counts) AS DOUBLE) * 100, 6) AS prop_all
+    FROM every e LEFT JOIN counts c ON e.region IS NOT DISTINCT FROM c.region""")
+def region_authorship_all(spark, sf):
+    """Author countries per region over all recent studies."""
+    found = M.region_authorship(recent(v.studies(spark, sf)), v.country(spark, sf))
+    return found.select("region", "n", r6("prop_all", "prop_all"))
+
+
+@query("agg_country_recent", "v_bib", f"""
+    WITH rows AS (SELECT 'coverage' AS layer, unnest(coalesce(string_split(countries_coverage, ','), [null])) AS code
+                  FROM v_bib WHERE year > {CUT}
+                  UNION ALL SELECT 'authors', unnest(coalesce(string_split(countries_researcher, ','), [null]))
+                  FROM v_bib WHERE year > {CUT})
+    SELECT layer, code, count(*) AS n FROM rows GROUP BY 1, 2""")
+def agg_country_recent(spark, sf):
+    """Recent studies per country studied and per author country, null lists as a group."""
+    layers = F.array(*[F.struct(F.lit(name).alias("layer"), F.col(column).alias("list")) for name, column in (
+        ("coverage", "countries_coverage"), ("authors", "countries_researcher"))])
+    lists = recent(v.studies(spark, sf)).select(F.explode(layers).alias("m")).select("m.*")
+    return N.group_count(M.separate_rows(lists, "list", out="code"), "layer", "code")
+
+
 @query("join_domain_complete", "v_bib v_country", """
     WITH rows AS (SELECT n_downloads, unnest(string_split(countries_coverage, ',')) AS code
                   FROM v_bib WHERE n_downloads IS NOT NULL),

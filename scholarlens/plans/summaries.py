@@ -80,6 +80,21 @@ def agg_ratio_of_sums(spark, sf):
     return N.open_access_share(recent).withColumn("ratio", r6("ratio", "ratio"))
 
 
+@query("agg_open_share_all_years", "v_bib", """
+    SELECT count(*) AS no, count(*) FILTER (WHERE openaccess) AS no_open,
+           round(count(*) FILTER (WHERE openaccess) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM v_bib""")
+def agg_open_share_all_years(spark, sf):
+    return N.open_access_share(v.bib_core(spark, sf)).withColumn("ratio", r6("ratio", "ratio"))
+
+
+@query("agg_year_abstracts", "v_doc", """
+    SELECT year, count(*) AS papers, count(abstract) AS with_abstract FROM v_doc GROUP BY 1""")
+def agg_year_abstracts(spark, sf):
+    """Papers per year, and those that have an abstract."""
+    return v.doc(spark, sf).groupBy("year").agg(
+        F.count("*").alias("papers"), F.count("abstract").alias("with_abstract"))
+
+
 @query("agg_factor_summary", "v_bib", f"""
     SELECT tracking_source, count(*) AS n FROM v_bib WHERE year > {CUT} GROUP BY 1""")
 def agg_factor_summary(spark, sf):
@@ -305,6 +320,17 @@ def win_share_in_group(spark, sf):
                             ).withColumn("prop", r6("prop", "p"))
 
 
+@query("win_share_by_tag", "v_snap", """
+    SELECT snapshot_date, tagged_citizen_science, CAST(sum(occurrence_count) AS BIGINT) AS total,
+           round(sum(occurrence_count) / CAST(sum(sum(occurrence_count)) OVER (
+               PARTITION BY snapshot_date) AS DOUBLE), 6) AS prop
+    FROM v_snap GROUP BY 1, 2""")
+def win_share_by_tag(spark, sf):
+    """Records per date and citizen-science tag, with the tag's share of the date."""
+    return G.shares_by_date(v.snap(spark, sf), "snapshot_date", "tagged_citizen_science",
+                            "occurrence_count").withColumn("prop", r6("prop", "p"))
+
+
 # --- dataset citations and rank statistics ---------------------------------------------------
 
 @query("join_left_citations", "v_snap v_cite", _LATEST + """

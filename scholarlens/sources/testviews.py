@@ -19,6 +19,8 @@ from scholarlens.session import widen, written
 RECENT_STUDY = 1998
 RECENT_DOC = 2009
 TOPICS = 5
+#: Returned lines that a dataset needs to be in the citation table.
+LEAST_RETURNED = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,12 +128,14 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations per dataset; datasets without a large returned line are absent."""
+    """Citations per dataset from all its lines; datasets with few returned lines are absent."""
+    returned = F.col("l_returnflag") == "R"
     return (
         table(spark, sf_dir, "lineitem")
-        .where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40))
         .groupBy(F.col("l_partkey").cast("string").alias("datasetkey"))
-        .agg(F.count_if(F.col("l_quantity") > 47).alias("citations"))
+        .agg(F.count_if(returned & (F.col("l_quantity") > 40)).alias("citations"),
+             F.count_if(returned).alias("n_returned"))
+        .where(F.col("n_returned") >= LEAST_RETURNED).drop("n_returned")
     )
 
 
@@ -290,10 +294,11 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                p_type = 'ECONOMY' AS tagged_citizen_science,
                CAST(sum(l_quantity) AS BIGINT) AS occurrence_count
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4"""),
-    "v_cite": ((), """
+    "v_cite": ((), f"""
         SELECT CAST(l_partkey AS VARCHAR) AS datasetkey,
-               count(*) FILTER (WHERE l_quantity > 47) AS citations
-        FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1"""),
+               count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 40) AS citations
+        FROM lineitem GROUP BY 1
+        HAVING count(*) FILTER (WHERE l_returnflag = 'R') >= {LEAST_RETURNED}"""),
     "v_dsum": (("v_snap", "v_cite"), f"""
         SELECT *, citations / CAST(total_occurrences AS DOUBLE) AS citations_per_record,
                citations / CAST(part_occurrences AS DOUBLE) AS citations_per_part_record
