@@ -131,30 +131,42 @@ def join_topic_words(spark, sf):
 
 
 _REPORT = f"""
-    SELECT {{k}} t.topic, CAST(t.rank AS INTEGER) AS rank, t.doc_id, d.year, d.source, d.keywords,
+    SELECT t.topic, CAST(t.rank AS INTEGER) AS rank, t.doc_id, d.year, d.source, d.keywords,
            d.title, round(t.theta, 2) AS theta, l.top_words
     FROM ({_TOP_DOCS}) t JOIN v_doc d ON t.doc_id = d.id
-    JOIN lists l ON t.topic = l.topic {{on}}"""
+    JOIN lists l ON t.topic = l.topic"""
 REPORT_COLUMNS = ("year", "source", "keywords", "title")
 
 
 def report(spark, sf):
-    """Reports of two models in one job: the covariate levels stand in for numbers of topics."""
+    """Reports of models of several sizes in one job."""
     words = v.stored_tok(spark, sf)
-    beta = v.beta(spark, sf, words).withColumnRenamed("level", "k")
-    theta = v.theta(spark, sf, words).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    beta = v.beta_k(spark, sf, words).where("run = 1").drop("run")
     docs = v.doc(spark, sf).withColumnRenamed("id", "doc_id")
-    return T.topic_report(theta, beta, docs, keys=("k", "topic"), doc_columns=REPORT_COLUMNS)
+    return T.topic_report(v.theta_k(spark, sf, words), beta, docs, keys=("k", "topic"),
+                          doc_columns=REPORT_COLUMNS)
+
 
+_REPORT_K = """
+    WITH words AS (SELECT k, topic, term, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY k, topic ORDER BY logbeta DESC, term) AS rank
+        FROM v_beta_k WHERE run = 1) WHERE rank <= 15),
+    lists AS (SELECT k, topic, string_agg(term, ',' ORDER BY rank) AS top_words FROM words GROUP BY 1, 2),
+    best AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY k, topic ORDER BY theta DESC, doc_id) AS rank
+        FROM v_theta_k) WHERE rank <= 25)
+    SELECT t.k, t.topic, CAST(t.rank AS INTEGER) AS rank, t.doc_id, d.year, d.source, d.keywords,
+           d.title, round(t.theta, 2) AS theta, l.top_words
+    FROM best t JOIN v_doc d ON t.doc_id = d.id JOIN lists l ON t.k = l.k AND t.topic = l.topic"""
 
-@query("tm_topic_report", "v_theta v_beta v_doc",
-       "WITH " + words_sql(15).strip() + _REPORT.format(k="l.level AS k,", on=""))
+
+@query("tm_topic_report", "v_theta_k v_beta_k v_doc", _REPORT_K)
 def tm_topic_report(spark, sf):
     return report(spark, sf)
 
 
 @query("prj_select_named", "v_theta v_beta_all v_doc",
-       "WITH " + words_sql(15, source=_ALL).strip() + _REPORT.format(k="", on=""))
+       "WITH " + words_sql(15, source=_ALL).strip() + _REPORT)
 def prj_select_named(spark, sf):
     words = v.stored_tok(spark, sf)
     docs = v.doc(spark, sf).withColumnRenamed("id", "doc_id")
@@ -162,8 +174,7 @@ def prj_select_named(spark, sf):
                           doc_columns=REPORT_COLUMNS)
 
 
-@query("sink_csv_report", "v_theta v_beta v_doc",
-       "WITH " + words_sql(15).strip() + _REPORT.format(k="l.level AS k,", on=""))
+@query("sink_csv_report", "v_theta_k v_beta_k v_doc", _REPORT_K)
 def sink_csv_report(spark, sf):
     """The report written as headed CSV in one folder per model and read back."""
     table = report(spark, sf)
@@ -568,47 +579,63 @@ def tm_residuals(spark, sf):
                          r6("dispersion", "dispersion"))
 
 
-_METRICS = _COHERENCE + "," + frex_sql(0.7) + """,
-    ex AS (SELECT level, topic, sum(frex) AS exclusivity
-           FROM fx JOIN (SELECT level, topic, term FROM words) USING (level, topic, term) GROUP BY 1, 2),
-    ch AS (SELECT level, topic, sum(ln((docs_both + 1) / df)) AS coherence
-           FROM co JOIN d ON wi = d.term GROUP BY 1, 2),
-    m AS (SELECT level, topic, level * 10 + topic AS k, round(exclusivity, 6) AS exclusivity,
-                 round(coherence, 6) AS coherence FROM ex JOIN ch USING (level, topic))
+_METRICS = """
+    WITH words AS (SELECT run, k, topic, term, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY run, k, topic ORDER BY logbeta DESC, term) AS rank
+        FROM v_beta_k) WHERE rank <= 10),
+    fx AS (SELECT *, 1 / (0.7 / (cume_dist() OVER (PARTITION BY run, k, topic ORDER BY excl))
+                      + 0.3 / (cume_dist() OVER (PARTITION BY run, k, topic ORDER BY lb))) AS frex
+           FROM (SELECT *, """ + sig("logbeta") + " AS lb, " + sig("e") + """ AS excl FROM (
+               SELECT *, exp(logbeta) / sum(exp(logbeta)) OVER (PARTITION BY run, k, term) AS e
+               FROM v_beta_k))),
+    ex AS (SELECT run, k, topic, sum(frex) AS exclusivity FROM fx JOIN words USING (run, k, topic, term)
+           GROUP BY 1, 2, 3),
+    d AS (SELECT term, count(*) AS df FROM v_tok GROUP BY 1),
+    tt AS (SELECT doc_id, term FROM v_tok WHERE term IN (SELECT term FROM words)),
+    pt AS (SELECT DISTINCT w.term AS wi, x.term AS wj FROM words w JOIN words x
+           ON w.run = x.run AND w.k = x.k AND w.topic = x.topic AND w.rank < x.rank),
+    co AS (SELECT wi, wj, count(b.doc_id) AS docs_both FROM pt JOIN tt a ON a.term = wi
+           LEFT JOIN tt b ON b.term = wj AND b.doc_id = a.doc_id GROUP BY 1, 2),
+    ch AS (SELECT w.run, w.k, w.topic, sum(ln((docs_both + 1) / df)) AS coherence FROM words w
+           JOIN words x ON w.run = x.run AND w.k = x.k AND w.topic = x.topic AND w.rank < x.rank
+           JOIN co ON co.wi = w.term AND co.wj = x.term JOIN d ON d.term = w.term GROUP BY 1, 2, 3),
+    m AS (SELECT run, k, round(avg(exclusivity), 6) AS exclusivity, round(avg(coherence), 6) AS coherence
+          FROM ex JOIN ch USING (run, k, topic) GROUP BY 1, 2)
 """
 
 
 def metrics(spark, sf):
-    """Coherence and exclusivity of every (level, topic), each as a fitted model of its own."""
+    """Coherence and exclusivity of each model of two runs, keyed by its number of topics."""
     words = v.stored_tok(spark, sf)
-    beta = written(v.beta(spark, sf, words), "beta")
-    both = Q.semantic_coherence(words, beta, 10, BOTH).join(
-        Q.exclusivity(beta, 10, keys=BOTH), list(BOTH))
-    return written(both.select(
-        "level", "topic", (F.col("level") * 10 + F.col("topic")).alias("k"),
-        r6("exclusivity", "exclusivity"), r6("coherence", "coherence")), "metrics")
+    beta = written(v.beta_k(spark, sf, words), "beta")
+    return written(Q.model_metrics(words, beta, 10, ("run", "k", "topic")).select(
+        "run", "k", r6("exclusivity", "exclusivity"), r6("coherence", "coherence")), "metrics")
 
 
-@query("tm_frontier", "v_tok v_beta", _METRICS + """
-    SELECT k, exclusivity, coherence FROM m WHERE NOT EXISTS (
+@query("tm_model_metrics", "v_tok v_beta_k", _METRICS + "SELECT * FROM m")
+def tm_model_metrics(spark, sf):
+    return metrics(spark, sf)
+
+
+@query("tm_frontier", "v_tok v_beta_k", _METRICS + """
+    SELECT run * 100 + k AS model, exclusivity, coherence FROM m WHERE NOT EXISTS (
         SELECT 1 FROM m o WHERE o.exclusivity >= m.exclusivity AND o.coherence >= m.coherence
         AND (o.exclusivity > m.exclusivity OR o.coherence > m.coherence))""")
 def tm_frontier(spark, sf):
-    return T.pareto_front(metrics(spark, sf)).select("k", "exclusivity", "coherence")
+    """Models of both runs that no other beats on both measures."""
+    models = metrics(spark, sf).withColumn("model", F.col("run") * 100 + F.col("k"))
+    return T.pareto_front(models, "model").select("model", "exclusivity", "coherence")
 
 
-_RUNS = _METRICS + """
-    SELECT a.topic AS k, a.coherence AS coherence_1, a.exclusivity AS exclusivity_1,
+@query("join_model_runs", "v_tok v_beta_k", _METRICS + """
+    SELECT a.k, a.coherence AS coherence_1, a.exclusivity AS exclusivity_1,
            b.coherence AS coherence_2, b.exclusivity AS exclusivity_2,
            round(b.coherence - a.coherence, 6) AS coherence_diff,
            round(b.exclusivity - a.exclusivity, 6) AS exclusivity_diff
-    FROM m a JOIN m b ON a.topic = b.topic AND a.level = 1 AND b.level = 2"""
-
-
-@query("join_model_runs", "v_tok v_beta", _RUNS)
+    FROM m a JOIN m b ON a.k = b.k AND a.run = 1 AND b.run = 2""")
 def join_model_runs(spark, sf):
     """Two result tables side by side by number of topics."""
-    table = metrics(spark, sf).drop("k").withColumnRenamed("topic", "k")
-    runs = [table.where(F.col("level") == lv).drop("level") for lv in (1, 2)]
+    table = metrics(spark, sf)
+    runs = [table.where(F.col("run") == r).drop("run") for r in v.RUNS]
     return T.compare_runs(*runs).withColumns({c: F.round(c, 6) for c in (
         "coherence_diff", "exclusivity_diff")})

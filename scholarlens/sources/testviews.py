@@ -19,6 +19,9 @@ from scholarlens.session import widen, written
 RECENT_STUDY = 1998
 RECENT_DOC = 2009
 TOPICS = 5
+#: Models of several sizes, and how much a topic favours its own words in each of two runs.
+KS = (3, 4, 5)
+RUNS = {1: 10, 2: 4}
 #: Returned lines that a dataset needs to be in the citation table.
 LEAST_RETURNED = 6
 
@@ -250,6 +253,35 @@ def beta_all(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -
         "topic", "term", F.log(F.col("w") / F.col("tot")).alias("logbeta"))
 
 
+def theta_k(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    """Fixed shares of models of several sizes: (k, doc_id, year, topic, theta)."""
+    own = [F.sum(F.when(F.length("term") % k + 1 == t, F.col("cnt")).otherwise(0)).alias(f"t{k}_{t}")
+           for k in KS for t in range(1, k + 1)]
+    per_doc = words.groupBy("doc_id", "year").agg(F.sum("cnt").alias("n"), *own)
+    rows = F.array(*[F.struct(
+        F.lit(k).alias("k"), F.lit(t).alias("topic"),
+        ((F.col(f"t{k}_{t}") + 1) / (F.col("n") + k)).alias("theta")) for k in KS for t in range(1, k + 1)])
+    return per_doc.select("doc_id", "year", F.explode(rows).alias("x")).select("doc_id", "year", "x.*")
+
+
+def beta_k(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    """Fixed word shares of two runs of several sizes: (run, k, topic, term, logbeta)."""
+    per_term = words.groupBy("term").agg(F.sum("cnt").alias("cnt"))
+    keys = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(k).alias("k"), F.lit(t).alias("topic"),
+                              F.lit(w).alias("weight"))
+                     for r, w in RUNS.items() for k in KS for t in range(1, k + 1)])
+    weighted = per_term.select("term", "cnt", F.explode(keys).alias("x")).select("term", "cnt", "x.*").select(
+        "run", "k", "topic", "term", (F.col("cnt") * F.when(
+            F.length("term") % F.col("k") + 1 == F.col("topic"), F.col("weight")).otherwise(1)).alias("w"))
+    totals = weighted.groupBy("run", "k", "topic").agg(F.sum("w").alias("tot"))
+    return weighted.join(totals, ["run", "k", "topic"]).select(
+        "run", "k", "topic", "term", F.log(F.col("w") / F.col("tot")).alias("logbeta"))
+
+
+_K_TOPICS = ", ".join(f"({k}, {t})" for k in KS for t in range(1, KS[-1] + 1) if t <= k)
+_K_RUNS = ", ".join(f"({r}, {w})" for r, w in RUNS.items())
+
+
 def basis_sql(column: str = "basis_of_record") -> str:
     """The class of a basis of record as SQL."""
     cases = " ".join(
@@ -346,6 +378,18 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                      cnt * CASE WHEN length(term) % {TOPICS} + 1 = topic THEN 10 ELSE 1 END AS w
               FROM (SELECT term, CAST(sum(cnt) AS BIGINT) AS cnt FROM v_tok GROUP BY 1),
                    (SELECT CAST(unnest(range(1, {TOPICS + 1})) AS INTEGER) AS topic))"""),
+    "v_theta_k": (("v_tok",), f"""
+        SELECT k, doc_id, year, topic,
+               (sum(CASE WHEN length(term) % k + 1 = topic THEN cnt ELSE 0 END) + 1)
+               / CAST(sum(cnt) + k AS DOUBLE) AS theta
+        FROM v_tok, (VALUES {_K_TOPICS}) AS g(k, topic) GROUP BY 1, 2, 3, 4"""),
+    "v_beta_k": (("v_tok",), f"""
+        SELECT run, k, topic, term,
+               ln(w / CAST(sum(w) OVER (PARTITION BY run, k, topic) AS DOUBLE)) AS logbeta
+        FROM (SELECT run, k, topic, term,
+                     cnt * CASE WHEN length(term) % k + 1 = topic THEN weight ELSE 1 END AS w
+              FROM (SELECT term, CAST(sum(cnt) AS BIGINT) AS cnt FROM v_tok GROUP BY 1),
+                   (VALUES {_K_TOPICS}) AS g(k, topic), (VALUES {_K_RUNS}) AS r(run, weight))"""),
 }
 
 
