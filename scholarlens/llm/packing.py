@@ -10,11 +10,13 @@ every block its place in the whole stream.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ from scholarlens.session import written
 END_ID = 2
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
-#: Texts encoded at a time, by characters.
-BATCH_CHARS = 1 << 20
+#: Texts encoded at a time, by bytes.
+BATCH_BYTES = 1 << 18
 BLOCKS = ("shard int, block int, first long, width int, n_ids int, keys array<long>, "
           "starts array<int>, packed binary")
 
@@ -42,7 +44,7 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     return np.packbits((ids.astype(np.uint32)[:, None] >> shifts) & 1).tobytes()
 
 
-def unpack(packed: bytes, width: int, start: int, count: int) -> np.ndarray:
+def unpack(packed: bytes | pa.Buffer, width: int, start: int, count: int) -> np.ndarray:
     """``count`` ids from position ``start``; only the bytes that hold them are looked at."""
     low, high = start * width, (start + count) * width
     raw = np.frombuffer(packed, np.uint8, count=(high + 7) // 8 - low // 8, offset=low // 8)
@@ -50,34 +52,32 @@ def unpack(packed: bytes, width: int, start: int, count: int) -> np.ndarray:
     return bits @ (1 << np.arange(width - 1, -1, -1, dtype=np.uint32))
 
 
-_LOADED: dict[str, object] = {}
-
-
-def _tokenizer(path: str):
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``limit`` bytes together, or of one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield at, to
+        at = to
 
 
 def _encoder(path: str, width: int, end_id: int) -> Callable[[Iterator], Iterator]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        # Spark gives a task one core; the tokenizer goes when the task ends
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                found = [np.array(e.ids + [end_id], np.uint32) for e in tokenizer.encode_batch(
-                    texts[at:to], add_special_tokens=False)]
+            keys, texts = batch.column(0), batch.column(1)
+            for at, to in slices(texts, BATCH_BYTES):
+                found = [np.array(e.ids + [end_id], np.uint32) for e in tokenizer.encode_batch_fast(
+                    texts.slice(at, to - at).to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(at, to - at), pa.array([len(x) for x in found], pa.int32()),
                      pa.array([pack(x, width) for x in found], pa.binary())],
                     ["key", "n", "packed"])
-                at = to
     return encode
 
 
@@ -93,7 +93,9 @@ def _blocks(width: int, block_ids: int) -> Callable[[Iterator], Iterator]:
                 "keys": keys, "starts": starts, "packed": pack(ids, width)}], SCHEMA)
 
         for batch in batches:
-            for key, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            given, sizes, bits = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for i, (key, n) in enumerate(zip(given, sizes)):
+                packed = bits[i].as_buffer()
                 if size and size + n > block_ids:
                     yield closed()
                     block, first, keys, starts, parts, size = block + 1, first + size, [], [], [], 0
@@ -131,7 +133,8 @@ def store(docs: DataFrame, tokenizer: str, vocabulary: int, key: str = "doc_id",
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
             starts = row["starts"]
             sizes = np.diff([*starts, row["n_ids"]])
             ids = [unpack(row["packed"], row["width"], s, int(n)) for s, n in zip(starts, sizes)]
