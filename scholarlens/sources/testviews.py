@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from scholarlens.functions.columns import basis_class, paste
 from scholarlens.functions.fixed import BASIS_CLASSES, SENTINEL
 from scholarlens.operators.citations import with_both_totals, with_citations
-from scholarlens.operators.growth import latest_snapshot
 from scholarlens.operators.text import doc_terms, tokens
 from scholarlens.session import widen, written
 
@@ -108,6 +107,11 @@ def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_lists(bib_taxa(spark, sf_dir), _study_lists(spark, sf_dir))
 
 
+def snapshot_date(shipped: str) -> Column:
+    """Day of the snapshot that a shipped line belongs to."""
+    return F.make_date(F.year(shipped) + 12, F.lit(1), F.lit(1))
+
+
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dataset sizes per snapshot, basis of record and citizen-science tag."""
     lineitem = table(spark, sf_dir, "lineitem")
@@ -122,7 +126,7 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
         lineitem.join(part, lineitem.l_partkey == part.p_partkey)
         .groupBy(
             F.col("l_partkey").cast("string").alias("datasetkey"),
-            F.make_date(F.year("l_shipdate") + 12, F.lit(1), F.lit(1)).alias("snapshot_date"),
+            snapshot_date("l_shipdate").alias("snapshot_date"),
             basis.alias("basis_of_record"),
             (F.col("p_type") == "ECONOMY").alias("tagged_citizen_science"),
         )
@@ -143,9 +147,15 @@ def cite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest snapshot with citations; the snapshots are worked out once and stored."""
-    stored = written(snap(spark, sf_dir), "snapshots")
-    return written(with_citations(latest_snapshot(stored, "snapshot_date"), cite(spark, sf_dir)), "cited")
+    """Latest snapshot with citations, stored.
+
+    The last date is found on the ship dates alone, so that only its lines are summed up.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", snapshot_date("l_shipdate").alias("d"))
+    last = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi").agg(F.max("d")).scalar()
+    latest = snap(spark, sf_dir).where(F.col("snapshot_date") == last)
+    return written(with_citations(latest, cite(spark, sf_dir)), "cited")
 
 
 def dsum(spark: SparkSession, sf_dir: str) -> DataFrame:
