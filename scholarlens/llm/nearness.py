@@ -1,11 +1,17 @@
 """Similarity join on word shingles with a forest of MinHash signatures.
 
 Texts with the same set of shingles are one class of copies and go on as one. A signature is cut
-into trees; in each tree the classes lie in a trie of their hash values, in which classes with a
-common prefix are neighbours. Prefixes start at the full depth and are shortened until a pair at
-the threshold meets in some tree with at least the target probability. Pairs that meet are
-verified exactly on their shingles. For that, classes are laid into tiles of limited size, so a
-set is sent once to a tile and not once to each pair, and a large group spreads over many tiles.
+into trees; in each tree the classes are the leaves of a prefix trie of their hash values, and
+classes below one node are candidates of each other. The prefix is shortened from the full depth
+until a pair at the threshold meets in some tree with at least the target probability. This
+depth follows from threshold, trees and target alone and is the same for all classes: a longer
+prefix for some of them would lose pairs at the threshold, a shorter one adds none that the
+target asks for. So a tree is kept as one key per class, the node it lies under.
+
+Candidates are never written as pairs. A class is laid into a block of its least partner, the
+blocks that meet under a node make a tile, and a tile finds its candidates by their keys and
+verifies them exactly on their shingles (64-bit hashes of five words). It returns one row per
+class: the number of rows it links to and the least class that its links within the tile reach.
 """
 
 from __future__ import annotations
@@ -15,10 +21,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarlens.llm.common import WORD, text_of
@@ -32,7 +37,9 @@ DEEPEST = 12
 #: Chance that a pair exactly at the threshold becomes a candidate.
 TARGET_RECALL = 0.9999
 #: Shingles a block of classes holds on average; a tile holds two blocks.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 1_000_000
+#: What a class counts beside its shingles, so that a block of short texts has few classes too.
+CLASS_SHINGLES = 200
 #: Shingles whose signature is computed at once.
 CHUNK = 4096
 WORDS = re.compile(WORD)
@@ -88,77 +95,84 @@ def prefixes(shingles: np.ndarray, depth: int, trees: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _features(depth: int, trees: int, size: int):
+def _features(body: int | None, depth: int, trees: int, size: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row = batch.column(0)
+            texts = row.field("text") if body is None else row.field("kept").field(body)
             sets, sizes, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles_of(text, size)
+            for text in texts:
+                found = shingles_of(text.as_py() or "", size)
                 sets.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                             if len(found) else None)
                 sizes.append(len(found))
                 keys.append(prefixes(found, depth, trees) if len(found) else [])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(sets, pa.binary()),
-                pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["row", "text", "set_id", "n", "keys"])
+                row, pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()),
+                pa.array(keys, pa.list_(pa.int64()))], ["row", "set_id", "n", "keys"])
     return add
 
 
 def _verify(threshold: float, size: int):
-    def verify(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        """The pairs of a tile that are alike enough; one pass per left side."""
-        found = {k: shingles_of(t, size) for k, t in zip(members["set_id"], members["text"])}
-        if not found:
-            return pd.DataFrame({"a": [], "b": []})
-        names = {k: i for i, k in enumerate(found)}
-        values, flat = np.unique(np.concatenate([*found.values()]), return_inverse=True)
-        ends = np.cumsum([len(x) for x in found.values()])
-        sets = np.split(flat, ends[:-1])
-        here, out = np.zeros(len(values), bool), []
-        for left, group in pairs.groupby("a", sort=False):
-            mine = sets[names[left]]
-            here[mine] = True
-            for right in group["b"]:
-                other = sets[names[right]]
-                common = int(np.count_nonzero(here[other]))
-                if common >= threshold * (len(mine) + len(other) - common) - 1e-9:
-                    out.append((left, right))
-            here[mine] = False
-        return pd.DataFrame(out, columns=["a", "b"])
+    def verify(tile: pa.Table) -> pa.Table:
+        """Per linked class of a tile: the rows it links to, and the first class it reaches."""
+        tile = tile.sort_by("block")
+        ids, blocks = tile["set_id"], tile["block"].to_numpy()
+        copies, m = tile["copies"].to_numpy(), len(blocks)
+        keys = tile["keys"].combine_chunks().flatten().to_numpy().reshape(m, -1)
+        sets = [shingles_of(t.as_py() or "", size) for t in tile["text"]]
+        sizes = np.array([len(x) for x in sets])
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(flat, np.cumsum(sizes)[:-1])
+        here, linked, root = np.zeros(len(values), np.uint8), np.zeros(m, np.int64), np.arange(m)
+        cut = int(np.searchsorted(blocks, blocks[-1]))  # 0 where a block meets itself
+        for i in range(cut or m):
+            at = cut or i + 1
+            near = (keys[at:] == keys[i]).any(1)
+            near &= np.minimum(sizes[at:], sizes[i]) >= threshold * np.maximum(sizes[at:], sizes[i]) - 1e-9
+            near = at + np.flatnonzero(near)
+            if not len(near):
+                continue
+            here[sets[i]] = 1
+            starts = np.cumsum(sizes[near]) - sizes[near]
+            common = np.add.reduceat(here[np.concatenate([sets[j] for j in near])], starts, dtype=np.int64)
+            here[sets[i]] = 0
+            alike = near[common >= threshold * (sizes[i] + sizes[near] - common) - 1e-9]
+            if len(alike):
+                linked[i] += copies[alike].sum()
+                linked[alike] += copies[i]
+                met = np.unique(np.append(root[alike], root[i]))
+                root[np.isin(root, met)] = met[0]
+        out = np.flatnonzero(linked)
+        return pa.table({"a": ids.take(pa.array(out)), "b": ids.take(pa.array(root[out])),
+                         "linked": pa.array(linked[out])})
     return verify
 
 
-def _links(features: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Verified pairs (a < b) of classes, each once."""
-    classes = written(features.where("set_id is not null").groupBy("set_id").agg(
-        F.min(F.struct("ticket", "keys", "n")).alias("m")).select(
-        "set_id", "m.ticket", "m.keys", "m.n"), "classes")
+def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b, linked) per tile and linked class: a class it reaches, maybe itself, and its rows."""
     keys = classes.select("set_id", F.explode("keys").alias("k"))
-    left, right = keys.withColumnRenamed("set_id", "a"), keys.withColumnRenamed("set_id", "b")
-    pairs = written(left.join(right, "k").where("a < b").select("a", "b").distinct(), "pairs")
-    # classes that meet get the least partner as home, and homes are cut into blocks
-    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(
-        F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
-    homes = both.groupBy(F.col("a").alias("set_id")).agg(F.min("b").alias("b")).select(
-        "set_id", F.least("set_id", "b").alias("home"))
-    homes = homes.join(classes.select("set_id", "ticket", "n"), "set_id")
+    nodes = keys.groupBy("k").agg(F.min("set_id").alias("home"), F.count(F.lit(1)).alias("met"))
+    nodes = nodes.where("met > 1").select("k", "home")
+    homes = written(keys.join(nodes, "k").groupBy("set_id").agg(F.min("home").alias("home")), "homes")
+    homes = homes.join(classes, "set_id")
     room = homes.groupBy(F.col("home").alias("h")).agg(
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+        F.ceil(F.sum(F.col("n") + CLASS_SHINGLES) / BLOCK_SHINGLES).alias("blocks"))
     placed = written(homes.join(room, F.col("home") == F.col("h")).select(
-        "set_id", "ticket", F.xxhash64(
+        "set_id", "ticket", "copies", "keys", F.xxhash64(
             "home", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).alias("block")), "blocks")
-    block_of = lambda c: placed.select(F.col("set_id").alias(c), F.col("block").alias(f"{c}_block"))
-    tiled = written(pairs.join(block_of("a"), "a").join(block_of("b"), "b").select(
-        F.least("a_block", "b_block").alias("low"), F.greatest("a_block", "b_block").alias("high"),
-        "a", "b"), "tiled")
-    tiles = tiled.select("low", "high").distinct().select("low", "high", F.explode(
-        F.array_distinct(F.array("low", "high"))).alias("block"))
-    texts = placed.join(features.select("ticket", "text"), "ticket").select("set_id", "block", "text")
-    members = tiles.join(texts, "block").select(
-        F.col("low").alias("m_low"), F.col("high").alias("m_high"), "set_id", "text")
-    return written(members.groupBy("m_low", "m_high").cogroup(tiled.groupBy("low", "high")).applyInPandas(
-        _verify(threshold, size), "a binary, b binary"), "links")
+    # the blocks under a node; it has as many as its classes fill
+    under = placed.select("block", F.explode("keys").alias("k")).groupBy("k", "block").agg(
+        F.count(F.lit(1)).alias("met"))
+    low = under.select("k", F.col("block").alias("low"), "met")
+    high = under.select(F.col("k").alias("k2"), F.col("block").alias("high"))
+    tiles = written(low.join(high, (F.col("k") == F.col("k2")) & (F.col("low") <= F.col("high"))).where(
+        "low < high or met > 1").select("low", "high").distinct(), "tiles")
+    sides = tiles.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    members = sides.join(placed.join(texts, "ticket"), "block").select(
+        "low", "high", "set_id", "block", "copies", "keys", "text")
+    return written(members.groupBy("low", "high").applyInArrow(
+        _verify(threshold, size), "a binary, b binary, linked long"), "links")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -187,6 +201,35 @@ def _components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("a").alias("set_id"), F.col("b").alias("root"))
 
 
+def _joined(docs: DataFrame, key: str, text: str, keep: list[str] | None, threshold: float, size: int,
+            trees: int, deepest: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with their set of shingles, and per set its root, first row and number of links."""
+    keep = docs.columns if keep is None else keep
+    depth = depth_for(threshold, trees, deepest, target)
+    # a text that is kept anyway is carried once
+    body = keep.index(text) if text in keep and dict(docs.dtypes)[text] == "string" else None
+    parts: list[Column] = [F.struct(*[F.col(c) for c in keep]).alias("kept"),
+                           F.col(key).cast("long").alias("key")]
+    parts += [text_of(text).alias("text")] if body is None else []
+    plain = docs.select(F.struct(*parts).alias("row"))
+    kind = f"row {plain.schema['row'].dataType.simpleString()}, set_id binary, n int, keys array<long>"
+    features = written(plain.mapInArrow(_features(body, depth, trees, size), kind).select(
+        F.monotonically_increasing_id().alias("ticket"), "*"), "features")
+    order = F.struct(F.col("row.key").isNull().alias("none"), F.col("row.key").alias("key"), "ticket")
+    classes = written(features.where("set_id is not null").groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(order).alias("least"),
+        F.min(F.struct("ticket", "keys", "n")).alias("m")).select(
+        "set_id", "copies", "least", "m.ticket", "m.keys", "m.n"), "classes")
+    said = F.col("row.text") if body is None else F.col("row.kept")[text]
+    links = _links(classes.drop("least"), features.select("ticket", said.alias("text")), threshold, size)
+    roots = _components(links.where("a <> b").select("a", "b"))
+    linked = links.groupBy(F.col("a").alias("set_id")).agg(F.sum("linked").alias("linked"))
+    rooted = classes.join(roots, "set_id", "left").join(linked, "set_id", "left").select(
+        "set_id", F.coalesce("root", "set_id").alias("root"), "least",
+        (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return features, written(rooted, "rooted")
+
+
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text",
            keep: list[str] | None = None, threshold: float = THRESHOLD, size: int = SHINGLE,
            trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET_RECALL) -> DataFrame:
@@ -199,28 +242,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``first`` marks the row with the least key, any one of them if several have it. Columns of
     any name stay inside ``row``; an empty table gives no rows.
     """
-    keep = docs.columns if keep is None else keep
-    depth = depth_for(threshold, trees, deepest, target)
-    plain = docs.select(F.struct(F.struct(*[F.col(c) for c in keep]).alias("kept"),
-                                 F.col(key).cast("long").alias("key")).alias("row"),
-                        text_of(text).alias("text"))
-    kind = (f"row {plain.schema['row'].dataType.simpleString()}, text string, set_id binary, "
-            "n int, keys array<long>")
-    features = written(plain.mapInArrow(_features(depth, trees, size), kind).select(
-        F.monotonically_increasing_id().alias("ticket"), "*"), "features")
-    links = _links(features, threshold, size)
-    roots = _components(links)
-    order = F.struct(F.col("row.key").isNull().alias("none"), F.col("row.key").alias("key"), "ticket")
-    copies = written(features.where("set_id is not null").groupBy("set_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(order).alias("least")), "copies")
-    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(
-        F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
-    linked = both.join(copies.select(F.col("set_id").alias("b"), "copies"), "b").groupBy(
-        F.col("a").alias("set_id")).agg(F.sum("copies").alias("linked"))
-    rooted = copies.join(roots, "set_id", "left").join(linked, "set_id", "left").select(
-        "set_id", F.coalesce("root", "set_id").alias("root"), "least",
-        (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    rooted = written(rooted, "rooted")
+    features, rooted = _joined(docs, key, text, keep, threshold, size, trees, deepest, target)
     ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("head"))
     sets = rooted.join(ids, F.col("root") == F.col("r")).select("set_id", "n_links", "head")
     out = features.select("ticket", "row", "set_id").join(sets, "set_id", "left")
@@ -231,6 +253,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (F.col("set_id").isNull() | (F.col("ticket") == F.col("head.ticket"))).alias("first"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with the columns of ``docs``."""
-    return joined(docs).where("first").select("row.*")
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ``first`` row of each class (see ``joined``), with the columns of ``docs``."""
+    features, rooted = _joined(docs, key, text, None, THRESHOLD, SHINGLE, TREES, DEEPEST, TARGET_RECALL)
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head")).select("head.ticket")
+    rows = features.select("ticket", "row.kept", "set_id")
+    kept = rows.where("set_id is not null").join(heads, "ticket", "left_semi").select("kept.*")
+    return rows.where("set_id is null").select("kept.*").unionAll(kept)
