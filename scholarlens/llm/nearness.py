@@ -8,10 +8,11 @@ depth follows from threshold, trees and target alone and is the same for all cla
 prefix for some of them would lose pairs at the threshold, a shorter one adds none that the
 target asks for. So a tree is kept as one key per class, the node it lies under.
 
-Candidates are never written as pairs. A class is laid into a block of its least partner, the
-blocks that meet under a node make a tile, and a tile finds its candidates by their keys and
-verifies them exactly on their shingles (64-bit hashes of five words). It returns one row per
-class: the number of rows it links to and the least class that its links within the tile reach.
+Candidates are never written as pairs. Classes that share nodes, directly or over a few others,
+get one home and are laid into the blocks that this home fills; blocks that meet under a node
+make a tile. A tile finds its candidates by their keys and verifies them exactly on their
+shingles (64-bit hashes of five words). It returns one row per class: the number of rows it links
+to and the least class that its links within the tile reach.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ TARGET_RECALL = 0.9999
 BLOCK_SHINGLES = 1_000_000
 #: What a class counts beside its shingles, so that a block of short texts has few classes too.
 CLASS_SHINGLES = 200
+#: Rounds in which a class takes over the least home of the classes it shares a node with.
+HOME_ROUNDS = 4
 #: Shingles whose signature is computed at once.
 CHUNK = 4096
 WORDS = re.compile(WORD)
@@ -153,8 +156,13 @@ def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     """(a, b, linked) per tile and linked class: a class it reaches, maybe itself, and its rows."""
     keys = classes.select("set_id", F.explode("keys").alias("k"))
     nodes = keys.groupBy("k").agg(F.min("set_id").alias("home"), F.count(F.lit(1)).alias("met"))
-    nodes = nodes.where("met > 1").select("k", "home")
-    homes = written(keys.join(nodes, "k").groupBy("set_id").agg(F.min("home").alias("home")), "homes")
+    shared = written(keys.join(nodes.where("met > 1").select("k", "home"), "k"), "shared")
+    homes = written(shared.groupBy("set_id").agg(F.min("home").alias("home")), "homes")
+    for _ in range(HOME_ROUNDS - 1):  # a loose group would else have many small homes that all meet
+        least = shared.select("set_id", "k").join(homes, "set_id").groupBy("k").agg(
+            F.min("home").alias("home"))
+        homes = written(shared.select("set_id", "k").join(least, "k").groupBy("set_id").agg(
+            F.min("home").alias("home")), "homes")
     homes = homes.join(classes, "set_id")
     room = homes.groupBy(F.col("home").alias("h")).agg(
         F.ceil(F.sum(F.col("n") + CLASS_SHINGLES) / BLOCK_SHINGLES).alias("blocks"))
@@ -162,7 +170,7 @@ def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int) ->
         "set_id", "ticket", "copies", "keys", F.xxhash64(
             "home", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).alias("block")), "blocks")
     # the blocks under a node; it has as many as its classes fill
-    under = placed.select("block", F.explode("keys").alias("k")).groupBy("k", "block").agg(
+    under = shared.join(placed.select("set_id", "block"), "set_id").groupBy("k", "block").agg(
         F.count(F.lit(1)).alias("met"))
     low = under.select("k", F.col("block").alias("low"), "met")
     high = under.select(F.col("k").alias("k2"), F.col("block").alias("high"))

@@ -71,6 +71,25 @@ def test_group_over_many_tiles(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c, _ in got}
 
 
+def test_loose_group_has_few_tiles(spark, monkeypatch):
+    counted, real = {}, nearness.written
+    monkeypatch.setattr(nearness, "written", lambda df, label: counted.setdefault(label, []).append(
+        real(df, label)) or counted[label][-1])
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+    rows = []
+    for i in range(300):  # like the base, hardly any two alike enough to be linked
+        w = list(base)
+        for j in rng.sample(range(200), 6):
+            w[j] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(k, t, "r", "k", "f") for k, t in rows], KIND)
+    got = sorted((r["row"]["doc_id"], r["class_id"], r["n_links"]) for r in nearness.joined(docs).collect())
+    assert got == sorted(plain(rows))
+    # one row a class and tile: as many tiles as one home fills, not one for each two classes
+    assert counted["tiles"][-1].count() <= 10 and counted["links"][-1].count() <= 2 * len(rows)
+
+
 def test_odd_rows(spark):
     texts = [None, "", " \n", "one", "ONE", "a b c d", "a b c d e", "long " * 60000, "long " * 70000, "é 😀 b c d e"]
     rows = [(i, t, "r", "k", "f") for i, t in enumerate(texts)]
