@@ -113,3 +113,17 @@ def test_candidates_meet_the_target():
         a, b = (nearness.prefixes(y, depth, nearness.TREES) for y in (x[:810], x[90:]))
         met += bool((a == b).any())  # similarity 0.8
     assert met >= 298
+
+
+def test_one_of_each_class_whatever_the_columns(spark):
+    kind = "doc_id long, text string, ticket string, kept string, set_id string, head string, n string"
+    rows = [(2, "a b c d e f", "t", "k", "s", "h", "n"), (1, "A b c d e f", "t", "k", "s", "h", "n"),
+            (None, "a b c d e f", None, None, None, None, None), (4, None, "", "", "", "", ""),
+            (5, "", "", "", "", "", ""), (5, "", "", "", "", "", ""), (6, "other words", "", "", "", "", "")]
+    docs = spark.createDataFrame(rows, kind)
+    kept = nearness.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((rows[i] for i in (1, 3, 4, 5, 6)), key=str)
+    assert nearness.keep_one(docs.limit(0)).count() == 0
+    numbers = spark.createDataFrame([(1, 77), (2, 77), (3, 78), (4, None)], "doc_id long, text int")
+    assert sorted(r["doc_id"] for r in nearness.keep_one(numbers).collect()) == [1, 3, 4]
