@@ -69,3 +69,38 @@ def digest(spans):
 
 def counts(spans, n):
     return tuple(sum(o == i for _, o, _, _ in spans) for i in range(n))
+
+
+def all_secrets(text):
+    """The fixed spans and the weak ones that the secrets of the text take, listed."""
+    base = [(s, o, k, e) for s, o, e, k in secret_spans(text)]
+    weak = [(m.start(), 3, "key", m.end()) for m in re.finditer(
+        r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}", text)
+        if all(re.search(c, m.group()) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    weak += [(m.start(), 4, "identifier", m.end()) for m in re.finditer(
+        r"""(?i:\b(?:user(?:name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", text)]
+    weak += [(m.start(), 5, "endpoint", m.end()) for m in re.finditer(
+        r"\bhttps?://[^\s\"'<>,]+", text)]
+    every = sorted(base + [x for x in weak if not any(y[0] < x[3] and y[3] > x[0] for y in base)])
+    gaps = [text[every[i - 1][3] if i else 0:x[0]] for i, x in enumerate(every)]
+    ends = [(bool(re.search(r"\n[ \t\r]*\n|[{}]", g)),
+             bool(re.search(r"\n[ \t\r]*\n {0,3}#{1,6} |\n {0,3}\[[^\]\n]{1,80}\][ \t\r]*\n"
+                            r"|\n(?:-{3,}|={3,}|\*{3,})[ \t\r]*\n", g))) for g in gaps]
+    out = set(base)
+    for i, x in enumerate(every):
+        if x[2] not in ("assign", "hex", "key"):
+            continue
+        best = {}
+        for j, y in enumerate(every):
+            role = {"access": "identifier"}.get(y[2], y[2])
+            if j == i or role not in ("identifier", "endpoint"):
+                continue
+            between = ends[min(i, j) + 1:max(i, j) + 1]
+            scope = 2 if any(b[1] for b in between) else int(any(b[0] for b in between))
+            rank = (scope, max(0, (x[0] - y[3]) if j < i else (y[0] - x[3])), y)
+            best[role] = min(best.get(role, rank), rank)
+        if best:
+            out.add(x)
+        if "identifier" in best:
+            out |= {r[3] for r in best.values()}
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
