@@ -102,5 +102,5 @@ def all_secrets(text):
         if best:
             out.add(x)
         if "identifier" in best:
-            out |= {r[3] for r in best.values()}
+            out |= {r[2] for r in best.values()}
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
