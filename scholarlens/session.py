@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,27 +63,53 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths given out inside each open or closed scope, by application and name of the scope.
+_SCOPES: dict[tuple[str, str], list[str]] = {}
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """Puts the scratch tables written inside the block down to ``name``, for ``release``."""
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the scratch tables of a scope. Nothing may still read them."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _SCOPES.pop((spark.sparkContext.applicationId, name), []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _SCOPE.get():
+        _SCOPES.setdefault((spark.sparkContext.applicationId, _SCOPE.get()), []).append(path)
+    return path
 
 
 #: Lets Spark delete the shuffle files of a query when the query has ended.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts lineage, outlives executors.
 
     What the write shuffled is deleted at its end, so a chain of written tables holds the
-    shuffle files of one of them at a time.
+    shuffle files of one of them at a time. ``codec`` suits a table that carries whole texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     before = spark.conf.get(CLEAN_SHUFFLES, None)
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if before is None:
             spark.conf.unset(CLEAN_SHUFFLES)
