@@ -210,7 +210,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, key: str, text: str, keep: list[str] | None, threshold: float, size: int,
-            trees: int, deepest: int, target: float) -> tuple[DataFrame, DataFrame]:
+            trees: int, deepest: int, target: float, codec: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with their set of shingles, and per set its root, first row and number of links."""
     keep = docs.columns if keep is None else keep
     depth = depth_for(threshold, trees, deepest, target)
@@ -222,7 +222,7 @@ def _joined(docs: DataFrame, key: str, text: str, keep: list[str] | None, thresh
     plain = docs.select(F.struct(*parts).alias("row"))
     kind = f"row {plain.schema['row'].dataType.simpleString()}, set_id binary, n int, keys array<long>"
     features = written(plain.mapInArrow(_features(body, depth, trees, size), kind).select(
-        F.monotonically_increasing_id().alias("ticket"), "*"), "features")
+        F.monotonically_increasing_id().alias("ticket"), "*"), "features", codec)
     order = F.struct(F.col("row.key").isNull().alias("none"), F.col("row.key").alias("key"), "ticket")
     classes = written(features.where("set_id is not null").groupBy("set_id").agg(
         F.count(F.lit(1)).alias("copies"), F.min(order).alias("least"),
@@ -263,7 +263,8 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The ``first`` row of each class (see ``joined``), with the columns of ``docs``."""
-    features, rooted = _joined(docs, key, text, None, THRESHOLD, SHINGLE, TREES, DEEPEST, TARGET_RECALL)
+    features, rooted = _joined(docs, key, text, None, THRESHOLD, SHINGLE, TREES, DEEPEST, TARGET_RECALL,
+                               "zstd")
     heads = rooted.groupBy("root").agg(F.min("least").alias("head")).select("head.ticket")
     rows = features.select("ticket", "row.kept", "set_id")
     kept = rows.where("set_id is not null").join(heads, "ticket", "left_semi").select("kept.*")

@@ -153,7 +153,7 @@ def thresholds(bins: DataFrame, reach: float = REACH, prior: float = PRIOR) -> D
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """``keep`` columns of every row with ``m`` (measures), ``base_failed`` and ``kept``.
 
     Rows with null language or source form groups of their own. An empty table gives no rows.
@@ -163,7 +163,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     inner = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).alias("text"),
                         F.col(lang).cast("string").alias("lang"),
                         F.col(source).cast("string").alias("source"))
-    measured = written(measure(inner, keep=["row", "lang", "source"]), "quality")
+    measured = written(measure(inner, keep=["row", "lang", "source"]), "quality", codec)
     fences = thresholds(sketch(measured, "m", "lang", "source")).withColumnsRenamed(
         {"lang": "f_lang", "source": "f_source"})
     joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("f_lang"))
@@ -178,4 +178,4 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns."""
-    return judged(docs).where("kept").select("row.*")
+    return judged(docs, codec="zstd").where("kept").select("row.*")
