@@ -21,6 +21,11 @@ from scholarlens.llm.common import free_name, text_of
 
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "select",
           "textarea", "button", "object"}
+#: Silent elements that hold phrases or drawings; if one is not closed, a page goes on after it.
+SOFT = {"button", "svg", "noscript", "select", "object"}
+SOFT_END = re.compile(r"</(button|svg|noscript|select|object)(?=[\s/>])", re.IGNORECASE)
+#: Tags that lie in none of these elements, closed or not.
+SECTIONING = {"article", "main", "section", "nav", "aside", "header", "footer"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "wbr"}
 INLINE = {"a", "b", "i", "u", "s", "em", "strong", "span", "small", "sub", "sup", "code", "font",
           "mark", "abbr", "cite", "q", "time", "br", "wbr", "img", "kbd", "var", "del", "ins", "label"}
@@ -63,8 +68,9 @@ class Block:
 class _Blocks(HTMLParser):
     """``open`` holds (tag, framing tag, number of a framing name or -1) of every open element."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.ends = Counter(x.lower() for x in SOFT_END.findall(html))  # that are still to come
         self.open: list[tuple[str, bool, int]] = []
         self.tags: Counter[str] = Counter()
         self.parts: list[str] = []
@@ -109,9 +115,20 @@ class _Blocks(HTMLParser):
             while len(self.open) > at:
                 self._pop()
 
+    def _recover(self, tag: str) -> None:
+        """End soft elements that ``tag`` cannot lie in, or whose end tag is missing."""
+        missing = SOFT if tag in SECTIONING else {t for t in SOFT if self.tags[t] > self.ends[t]}
+        self._end(missing, {"template"})
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        self.ends[tag] += tag in SOFT
+        super().handle_startendtag(tag, attrs)
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag not in INLINE:
             self.flush()
+        if self.silent and tag in CLOSES_P:
+            self._recover(tag)
         if tag in CLOSES_P:
             self._end({"p"}, P_SCOPE)
         if tag in IMPLIED:
@@ -134,6 +151,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag not in INLINE:
             self.flush()
+        self.ends[tag] -= tag in SOFT
         if self.tags[tag]:
             while self._pop() != tag:
                 pass
@@ -151,8 +169,9 @@ def blocks_of(html: str) -> list[Block]:
     A name marks an element as frame unless the element is a wrapper: it holds most of the page's
     unlinked text, and no text of an article or main element lies outside it.
     """
-    parser = _Blocks()
-    parser.feed(CUT_TAG.sub("", html))
+    html = CUT_TAG.sub("", html)
+    parser = _Blocks(html)
+    parser.feed(html)
     parser.close()
     parser.flush()
     outer = parser.outer
@@ -261,6 +280,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
             tree: Tree | None = None) -> DataFrame:
     """One row per page: struct ``row`` of the ``keep`` columns, ``text`` and ``n_chars``.
 
+    A button, drawing, select, object or noscript that is not closed ends at the next block.
     A null or empty page has an empty text, as has a page without article. Repeated rows each
     give a row, an empty table none; columns of any name stay inside ``row``.
     """

@@ -66,6 +66,20 @@ def test_layouts_named_like_frames():
         assert extraction.main_text(page, tree) == want, page
 
 
+def test_unclosed_silent_elements_end():
+    say = lambda i: f"paragraph {i} of a text that runs on for a good many words and has no link at all"
+    art, want = "".join(f"<p>{say(i)}</p>" for i in range(4)), "\n".join(map(say, range(4)))
+    tree = extraction.trained()
+    for tag in ("button", "svg", "noscript", "select", "object"):
+        for page in (f"<{tag}>Share<article>{art}</article>", f"<div><{tag}>Share</div><article>{art}</article>",
+                     f"<{tag}>Share<article>{art}</article><{tag}>Again</{tag}>", f"<{tag}>Share<div>{art}</div>",
+                     f"<article>{art}<{tag}>Share</{tag}></article>", f"<{tag}/><article>{art}</article>"):
+            assert extraction.main_text(page, tree) == want, page
+    inner = f"<article>{art}<noscript><div><p>{say(9)}</p></div></noscript></article>"
+    assert extraction.main_text(inner, tree) == want
+    assert extraction.main_text(f"<template><button>x<section>{art}</section></template>", tree) == ""
+
+
 def plain_katz(rows):
     toks = [[w for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))]
             + ["\n"] for _, t in rows]
