@@ -87,12 +87,14 @@ def planned(docs: DataFrame, keep: list[str] | None = None, key: str = "doc_id",
     Tokens are the words of the whole text; a null text has none. Rows with null source form a
     source of their own, a source without tokens is read once with weight 0, an empty table
     gives no rows, and repeated rows are rows like others. Ties of the permutation are broken
-    by the key.
+    by the key, then by a hash of the text; rows of equal key and text count as alike, and any of
+    them is read more often.
     """
     keep = docs.columns if keep is None else keep
     light = written(docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source).cast("string").alias("source"),
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"),
+        F.xxhash64(text_of(text)).alias("print"),
         F.size(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))).cast("long")
         .alias("n_tokens")), "mixing")
     sources = written(source_tokens(light), "sources")
@@ -120,7 +122,7 @@ def planned(docs: DataFrame, keep: list[str] | None = None, key: str = "doc_id",
         F.col("s_source").alias("b_source"), F.col("block").alias("b_block"),
         F.coalesce(F.sum("block_tokens").over(order), F.lit(0)).alias("before"))
     inside = Window.partitionBy("s_source", "block").orderBy(
-        turn(F.lit("doc"), F.col("key")), "key").rowsBetween(Window.unboundedPreceding, -1)
+        turn(F.lit("doc"), F.col("key")), "key", "print").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.join(before, F.col("s_source").eqNullSafe(F.col("b_source"))
                         & (F.col("block") == F.col("b_block")))
     upto = F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))

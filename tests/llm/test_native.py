@@ -1,13 +1,16 @@
 """Quality rules, secrets, personal data and mixing against plain statements of them."""
 
+import hashlib
 import math
 import random
 
 import brute
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scholarlens.llm import mixing, personal, quality, queries, secrets
+from scholarlens.llm.common import WORD as WORDS
 
 DOCS = "doc_id long, text string, lang string, source string, row string, m string, spans string"
 EDGES = [None, "", " \t\n", "one", "a b c a b c", "x\ny\n\nx\nx\r\n z", "é 😀 é 😀 é 😀" * 30,
@@ -195,6 +198,40 @@ def test_mixture_meets_its_limits(spark, sf):
         assert tokens[s] <= read[s] <= mixing.MAX_REPEATS * tokens[s] + longest
 
 
+def plain_copies(rows, exponent):
+    """(key, text, copies) of rows (key, source, text): every source read whole times and a part."""
+    number = lambda *c: int(hashlib.md5(":".join(map(str, c)).encode()).hexdigest()[:8], 16)
+    size = lambda r: len(brute.WORDS.findall(r[2] or ""))
+    groups = {}
+    for key, source, text in rows:
+        groups.setdefault(source, []).append(("" if key is None else str(key), source, text))
+    largest = max(sum(map(size, g)) for g in groups.values())
+    for source, group in groups.items():
+        tokens, blocks = sum(map(size, group)), {}
+        reads = round((tokens / largest) ** (exponent - 1), 9) if tokens else 1.0
+        whole = math.floor(reads)
+        rest, upto, n = math.floor((reads - whole) * tokens), 0, math.ceil(len(group) / mixing.BLOCK_DOCS)
+        for r in group:
+            blocks.setdefault(number(mixing.SEED, "block", r[0]) % n, []).append(r)
+        mark = lambda t: (lambda h: h - 2 ** 64 * (h >= 2 ** 63))(xxhash.xxh64_intdigest((t or "").encode(), 42))
+        for b in sorted(blocks, key=lambda b: (number(mixing.SEED, whole, source or "", b), b)):
+            for r in sorted(blocks[b], key=lambda r: (number(mixing.SEED, whole, "doc", r[0]), r[0], mark(r[2]))):
+                yield r[0], r[2] or "", whole + (upto < rest)
+                upto += size(r)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_mixture_is_the_plain_permutation(spark, sf, edges, whole):
+    docs = spark.read.parquet(f"{sf}/documents.parquet") if whole else edges.unionAll(edges).unionAll(
+        spark.createDataFrame([(3, f"{'tie ' * i}end", "en", "s", "r", "m", "p") for i in range(60)], DOCS))
+    light = docs.select("source", F.size(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("n_tokens"))
+    mix = mixing.solve(mixing.source_tokens(light.fillna(0, ["n_tokens"]).replace(-1, 0, ["n_tokens"])))
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect()]
+    got = mixing.planned(docs, keep=["doc_id", "text"]).select("row.*", "n_copies").collect()
+    assert sorted(("" if k is None else str(k), t or "", n) for k, t, n in got) == sorted(
+        plain_copies(rows, mix.exponent))
+
+
 def test_mixture_of_odd_rows(spark, edges):
     out = mixing.planned(edges).collect()
     assert len(out) == edges.count() and all(r["n_copies"] >= 1 for r in out)
