@@ -39,7 +39,8 @@ WORD_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: What the right tokenizer writes for a space.
 SPACE = "▁"
 #: Places where neither tokenizer joins what stands on both sides: a space after a visible sign.
-PARTS = re.compile(r"(?<=\S)(?= )")
+#: A single space at the end stays with its word: alone, it would leave the right side nothing.
+PARTS = re.compile(r"(?<=\S)(?= )(?! \Z)")
 #: Words that are encoded laid end to end.
 TOGETHER = 64
 HALF = 32

@@ -118,6 +118,15 @@ def test_groups_spell_the_text(spark, coders):
         assert (hashlib.sha256(said.encode()).hexdigest() if said else "") == want[r.row.doc_id][-1]
 
 
+def test_a_single_space_at_the_end_has_its_tokens(spark, coders):
+    texts = ["a ", "... ", "a  ", "a\n ", "a \n", "日本 ", "x▁ ", "one two  three "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = alignment.measured(docs, path(LEFT_TOKENIZER), path(RIGHT_TOKENIZER))
+    got = {r.row.doc_id: tuple(r[1:]) for r in found.collect()}
+    assert got == dict(enumerate(plain(texts, coders)))
+    assert [got[i][0] > 0 for i in range(len(texts))] == [t != "x▁ " for t in texts]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.measured(docs, path(LEFT_TOKENIZER), path(RIGHT_TOKENIZER)).count() == 0
