@@ -523,27 +523,26 @@ def tm_label_words(spark, sf):
 
 
 @query("tm_heldout", "v_tok v_theta v_beta", f"""
-    WITH hid AS (SELECT * FROM v_tok
-                 WHERE substr(md5('1:' || doc_id), 1, 8) < '{Q.hidden_limit(0.1)}'
-                 AND substr(md5('1:' || doc_id || ':' || term), 1, 8) < '{Q.hidden_limit(0.5)}'),
-    ll AS (SELECT level, t.doc_id, t.term, any_value(cnt) AS cnt,
+    WITH m AS (SELECT *, substr(md5('1:' || doc_id), 1, 8) < '{Q.hidden_limit(0.1)}'
+                 AND substr(md5('1:' || doc_id || ':' || term), 1, 8) < '{Q.hidden_limit(0.5)}' AS hidden
+               FROM v_tok),
+    ll AS (SELECT level, t.doc_id, t.term, any_value(hidden) AS hidden, any_value(cnt) AS cnt,
                        sum(theta * exp(logbeta)) AS p
-                FROM hid t JOIN v_beta b USING (term)
+                FROM m t JOIN v_beta b USING (term)
                 JOIN v_theta h ON h.doc_id = t.doc_id AND h.topic = b.topic GROUP BY 1, 2, 3),
-    per AS (SELECT level, doc_id, sum(cnt) AS tokens, sum(cnt * ln(p)) AS loglik
+    per AS (SELECT level, doc_id, sum(cnt) AS n, sum(cnt * ln(p)) AS s,
+                   sum(cnt) FILTER (hidden) AS hn, sum(cnt * ln(p)) FILTER (hidden) AS hs
             FROM ll GROUP BY 1, 2)
-    SELECT level, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens,
-           round(avg(loglik / tokens), 6) AS heldout FROM per GROUP BY 1""")
+    SELECT level, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, round(avg(s / n), 6) AS score,
+           count(hn) AS hidden_docs, CAST(coalesce(sum(hn), 0) AS BIGINT) AS hidden_tokens,
+           round(avg(hs / hn), 6) AS heldout FROM per GROUP BY 1""")
 def tm_heldout(spark, sf):
-    """Score of the hidden words under fixed shares, one row per covariate level."""
+    """Score of all words under fixed shares and that of the hidden ones, one row per covariate level."""
     words = v.stored_tok(spark, sf)
-    hidden = Q.held_out_mask(words, seed=1).where("hidden").select("doc_id", "term", "cnt")
-    hidden = written(hidden, "hidden")
-    # shares of other documents and words are never looked up
-    beta = v.beta(spark, sf, words).join(hidden.select("term").distinct(), "term", "left_semi")
-    theta = v.theta(spark, sf, words).join(hidden.select("doc_id").distinct(), "doc_id", "left_semi")
-    theta = theta.withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
-    return Q.held_out_score(hidden, theta, beta, ("level",)).withColumn("heldout", r6("heldout", "h"))
+    masked = Q.held_out_mask(words, seed=1).select("doc_id", "term", "cnt", "hidden")
+    theta = v.theta(spark, sf, words).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
+    return Q.masked_score(masked, theta, v.beta(spark, sf, words), ("level",)).withColumns({
+        "score": r6("score", "s"), "heldout": r6("heldout", "h")})
 
 
 @query("tm_residuals", "v_tok v_theta v_beta", """

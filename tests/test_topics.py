@@ -213,6 +213,36 @@ def test_held_out_mask_is_stable_and_partial(spark):
     assert a.exceptAll(Q.held_out_mask(counts, seed=2).where("hidden")).count() > 0
 
 
+def test_masked_score_reads_every_word_and_the_hidden_ones_apart(spark):
+    masked = spark.createDataFrame(
+        [(1, "a", 2, False), (1, "b", 1, True), (2, "a", 3, False), (2, "b", 1, False)],
+        "doc_id long, term string, cnt long, hidden boolean")
+    theta = spark.createDataFrame([(d, t, 0.5) for d in (1, 2) for t in (1, 2)],
+                                  "doc_id long, topic int, theta double")
+    beta = spark.createDataFrame(
+        [(t, w, math.log(p)) for t, ps in ((1, (.5, .5)), (2, (.3, .7))) for w, p in zip("ab", ps)],
+        "topic int, term string, logbeta double")
+    a, b = math.log(.4), math.log(.6)
+    row, = Q.masked_score(masked, theta, beta).collect()
+    assert (row.docs, row.tokens, row.hidden_docs, row.hidden_tokens) == (2, 7, 1, 1)
+    assert math.isclose(row.score, ((2 * a + b) / 3 + (3 * a + b) / 4) / 2)
+    assert math.isclose(row.heldout, b)
+    row, = Q.masked_score(masked.withColumn("hidden", F.lit(False)), theta, beta).collect()
+    assert (row.hidden_docs, row.hidden_tokens, row.heldout) == (0, 0, None)
+
+
+def test_heldout_query_scores_all_words(spark, sf):
+    from scholarlens.plans.topics import tm_heldout
+    from scholarlens.sources import testviews as v
+    counts, levels = v.stored_tok(spark, sf), (1, 2)
+    known = v.beta(spark, sf, counts).select("level", "term").distinct()
+    want = {r.level: r.n for r in counts.join(known, "term").groupBy("level").agg(
+        F.sum("cnt").alias("n")).collect()}
+    rows = {r.level: r for r in tm_heldout(spark, sf).collect()}
+    assert {k: rows[k].tokens for k in levels} == want
+    assert all(0 < rows[k].hidden_tokens < rows[k].tokens for k in levels)
+
+
 def test_coherence_by_hand(spark):
     counts = spark.createDataFrame(
         [(1, "a", 1), (1, "b", 1), (2, "a", 2), (3, "b", 1), (3, "c", 1), (4, "a", 1)],
