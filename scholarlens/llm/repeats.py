@@ -32,8 +32,8 @@ KMER = 20
 #: Bytes of pieces that a bucket is meant to hold, and how many times that makes it hot.
 BUCKET_BYTES = 1 << 25
 HOT = 4
-#: Bytes of texts cut at a time, windows of a piece at most, bytes of a merge and of its shards.
-CUT_BYTES = 1 << 23
+#: Bytes of texts cut and hashed at a time, windows of a piece at most, bytes of a merge and of its shards.
+CUT_BYTES, HASHED_BYTES = 1 << 23, 1 << 17
 PIECE = 1024
 MERGE_BYTES, SHARD_BYTES = 1 << 18, 1 << 16
 #: A null id counts as smaller than every other.
@@ -58,6 +58,21 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def pieces(data: bytes, sizes: np.ndarray, span: int, hot: np.ndarray,
            buckets: int) -> tuple[np.ndarray, ...]:
     """(start, windows, document, bucket, tag) of every piece of the texts joined in ``data``."""
+    ends = np.cumsum(sizes)
+    found, at = [], 0
+    while at < len(sizes) or not found:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + HASHED_BYTES, "right")))
+        stop = int(ends[min(to, len(sizes)) - 1]) if len(sizes) else 0
+        start, windows, doc, bucket, tag = _pieces(data[before:stop], sizes[at:to], span, hot, buckets)
+        found.append((start + before, windows, doc + at, bucket, tag))
+        at = to
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _pieces(data: bytes, sizes: np.ndarray, span: int, hot: np.ndarray,
+            buckets: int) -> tuple[np.ndarray, ...]:
+    """The same at once, with arrays of several times the size of ``data``."""
     offsets = np.cumsum(sizes) - sizes
     long = sizes >= span
     if not long.any():
@@ -173,17 +188,22 @@ def shard_order(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     smaller than every byte and differ by place. ``first`` marks where strings begin."""
     ends = text == 0
     rank = np.where(ends, np.cumsum(ends), int(ends.sum()) + text.astype(np.int64))
-    step, n = 1, len(text)
+    n, top = len(text), int(rank.max()) + 1
+
+    def behind(step: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        out[:max(0, n - step)] = rank[step:]
+        return out
+
+    key, step = (rank * top + behind(1)) * top + behind(2), 3  # a shard has too few ends to overflow
     while True:
-        after = np.zeros(n, np.int64)
-        after[:n - step] = rank[step:]
-        key = rank * (int(rank.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # any order among equals: they share a rank until all differ
         new = np.cumsum(np.diff(key[order], prepend=-1) != 0)
         rank = np.empty(n, np.int64)
         rank[order] = new
         if new[-1] == n:
             return order
+        key = rank * (int(new[-1]) + 1) + behind(step)
         step *= 2
 
 
@@ -212,13 +232,14 @@ def merged_blocks(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarr
     marks = where[begin + sizes - 1]
     order = np.arange(len(text), dtype=np.int32)
     block = np.zeros(len(text), np.int32)
+    new = np.ones(len(text), bool)
     for _ in range(span):
-        front = symbol[order]
+        front = symbol.take(order)
         by = np.argsort(front, kind="stable")
-        front, under = front[by], block[by]
-        order = step[order[by]]
-        new = np.ones(len(text), bool)
-        new[1:] = (front[1:] != front[:-1]) | (under[1:] != under[:-1])
+        front, under = front.take(by), block.take(by)
+        order = step.take(order.take(by))
+        np.not_equal(front[1:], front[:-1], out=new[1:])
+        new[1:] |= under[1:] != under[:-1]
         order[:len(marks)] = marks
         new[:len(marks) + 1] = True
         block = np.cumsum(new, dtype=np.int32) - np.int32(1)

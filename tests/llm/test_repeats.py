@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from scholarlens.llm import queries, repeats
 
@@ -74,5 +75,30 @@ def test_merge_orders_all_suffixes():
         assert (block[i] == block[i - 1]) == (len(heads[i]) == 6 and heads[i] == heads[i - 1])
 
 
+def test_shard_order_sorts_ties_to_the_end():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 60):
+        strings = [bytes(rng.choices((1, 2, 255), k=rng.randrange(0, 30))) for _ in range(n)] + [b"\1" * 25] * 2
+        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+        marks = np.cumsum(text == 0)
+        # an end mark is smaller than every byte, and marks differ by place
+        said = [[(x > 0, x or m) for x, m in zip(text[i:].tolist(), marks[i:].tolist())] for i in range(len(text))]
+        first = np.append(True, text[:-1] == 0)
+        assert repeats.shard_order(text, first).tolist() == sorted(range(len(text)), key=said.__getitem__)
+
+
+def test_pieces_do_not_depend_on_what_is_hashed_together(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab c", k=rng.choice((0, 10, 49, 50, 51, 300, 3000)))).encode() for _ in range(60)]
+    sizes, hot = np.array([len(t) for t in texts]), np.array([1, 2])
+
+    def found(limit):
+        monkeypatch.setattr(repeats, "HASHED_BYTES", limit)
+        return sorted(zip(*(x.tolist() for x in repeats.pieces(b"".join(texts), sizes, 50, hot, 5))))
+
+    assert found(1) == found(500) == found(1 << 20) != []
+    assert [len(x) for x in repeats.pieces(b"", np.zeros(0, np.int64), 50, hot, 5)] == [0] * 5
+
+
 def test_empty_table(spark):
     assert got(repeats.deduplicated(spark.createDataFrame([], KIND))) == Counter()
