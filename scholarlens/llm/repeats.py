@@ -234,10 +234,11 @@ def merged_blocks(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarr
     block = np.zeros(len(text), np.int32)
     new = np.ones(len(text), bool)
     for _ in range(span):
-        front = symbol.take(order)
+        # all places are inside; "clip" only saves looking at each of them beforehand
+        front = symbol.take(order, mode="clip")
         by = np.argsort(front, kind="stable")
-        front, under = front.take(by), block.take(by)
-        order = step.take(order.take(by))
+        front, under = front.take(by, mode="clip"), block.take(by, mode="clip")
+        order = step.take(order.take(by, mode="clip"), mode="clip")
         np.not_equal(front[1:], front[:-1], out=new[1:])
         new[1:] |= under[1:] != under[:-1]
         order[:len(marks)] = marks
