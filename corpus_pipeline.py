@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document read back from the packed store."""
     ship_package(spark)
-    return packing.documents_of(packing.store(docs, tokenizer_path(TOKENIZER), VOCABULARY))
+    return packing.documents_of(packing.store(docs, tokenizer_path(TOKENIZER), VOCABULARY, by_words=True))
 
 
 def _in_order(*stages: Stage) -> list[tuple[str, Stage]]:

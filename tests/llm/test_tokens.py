@@ -6,6 +6,7 @@ import zlib
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,54 @@ def test_tokens_of_odd_rows(spark):
         odd(spark).limit(0), path("word_bpe_49k.json"), 49408)).count() == 0
 
 
+PIECES = [*"aB1'StreEVdé.,;:!?JÀßΣσ×İſK字ก\x00\x01\x1c\x0b\x0c\t\n\r   -_<|>", "\x85", "\xa0", "\u2028", "\u200b",
+          "\u0301", "J\u030c", "e\u0315\u0300", "<|endoftext|>", "<|EndOfText|>", "'s", "'re", "</w>", "ﬁ", "😀", "tion"]
+
+
+@pytest.fixture(scope="module")
+def coded():
+    tokenizer = Tokenizer.from_file(path("word_bpe_49k.json"))
+    return tokenizer, packing.word_encoder(tokenizer)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES) | st.characters(exclude_categories=["Cs"]), max_size=25)
+                .map("".join), max_size=6))
+def test_ids_by_words(coded, texts):
+    tokenizer, encode = coded
+    got = list(packing.ids_by_words(pa.array(texts, pa.string()), encode, 2))
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_words_are_encoded_once():
+    """The ids of many copies of a text cost one encoding of each of its words."""
+    given = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.of = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(w for t in texts for w in t.split())
+            return self.of.encode_batch_fast(texts, **options)
+
+    tokenizer = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = ["One two, two. three 3"] * 50
+    got = list(packing.ids_by_words(pa.array(texts), packing.word_encoder(Counted(tokenizer)), 2))
+    assert [x.tolist() for x in got] == [tokenizer.encode(texts[0]).ids + [2]] * 50
+    assert sorted(w for w in given if w != packing.MARK) == [",", ".", "3", "one", "three", "two"]
+
+
+def test_tokens_of_odd_rows_by_words(spark):
+    whole, by_words = ([tuple(r) for r in packing.documents_of(packing.store(
+        odd(spark), path("word_bpe_49k.json"), 49408, block_ids=3, by_words=x)).orderBy("start").collect()]
+        for x in (False, True))
+    assert whole == by_words
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
