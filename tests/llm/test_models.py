@@ -6,6 +6,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from scholarlens import session
 from scholarlens.llm import extraction, katz, queries
 
 SF = "/root/testdata/sf0.01"
@@ -136,3 +139,26 @@ def test_scores_of_odd_rows(spark):
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, rid int, w int")
     same(katz.scored(df).collect(), list(plain_katz(rows)))
     assert katz.scored(df.limit(0)).count() == 0
+
+
+def test_scores_with_frequent_contexts_dealt(spark):
+    sf = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    df = spark.createDataFrame([(*r, [1]) for r in [*rows, *rows[:5], (None, None)]],
+                               "doc_id long, text string, cut array<int>")
+    got = katz.scored(df.coalesce(2), cut_bytes=20_000, bucket=2000, hot=40).collect()
+    same(got, list(plain_katz([*rows, *rows[:5], (None, None)])))
+
+
+def test_scratch_tables_of_scores(spark, tmp_path, monkeypatch):
+    """What stays on disk while the result is read is far below two hashes for each pair."""
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    sf = "/root/testdata/sf0.01"
+    out = katz.scored(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert out.count() == 1000
+    tables = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert tables == {"cuts", "back"}
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    tokens = out.agg(F.sum("n_tokens")).first()[0]
+    assert size < 12 * tokens
