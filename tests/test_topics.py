@@ -199,6 +199,24 @@ def test_residuals_equal_brute_force(fitted):
         assert got[k].ss == pytest.approx(ss)
 
 
+def test_modes_lay_out_only_what_is_still_open(monkeypatch):
+    rng = np.random.default_rng(3)
+    beta, sizes = rng.dirichlet(np.full(500, 0.2), 5).T, rng.integers(1, 200, 60)
+    cells = np.concatenate([rng.choice(500, n, replace=True) for n in sizes])
+    chunk = TF._DocumentChunk(np.repeat(np.arange(60), sizes), rng.integers(1, 4, len(cells)) * 1.0,
+                              beta[cells], np.zeros((60, 4)), np.eye(4) / 20)
+    laid, weights = [], TF._DocumentChunk.weights
+    monkeypatch.setattr(TF._DocumentChunk, "weights", lambda c, s: (laid.append(len(c.cnt)), weights(c, s))[1])
+    eta, late = chunk.modes()
+    assert late == 0
+    # the step to the mode is evaluated once and read again by the next round
+    assert sum(n == len(cells) for n in laid) <= 12 and sum(laid) < 20 * len(cells)
+    share = chunk.shares(eta)
+    topics, counted = chunk.word_topics(*weights(chunk, share))
+    assert np.allclose(topics.sum(0), 1)
+    assert np.abs((chunk.size[:, None] * share - counted)[:, :-1] + eta / 20).max() < 1e-3
+
+
 def test_fit_recovers_planted_topics(spark, fitted):
     corpus, models = fitted
     model = models[3]
