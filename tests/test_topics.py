@@ -217,6 +217,23 @@ def test_modes_lay_out_only_what_is_still_open(monkeypatch):
     assert np.abs((chunk.size[:, None] * share - counted)[:, :-1] + eta / 20).max() < 1e-3
 
 
+@pytest.mark.parametrize("k", [5, 20])
+def test_residual_sums_of_a_block(k, monkeypatch):
+    monkeypatch.setattr(TF, "DENSE_CELLS", 5000)
+    rng = np.random.default_rng(k)
+    b = rng.dirichlet(0.5 / np.arange(1, 4001) ** 0.8, k).T
+    shares, size = rng.dirichlet(np.ones(k), 200), rng.integers(1, 20_000, 200).astype(float)
+    size[:3] = 1, 2, 1e6
+    q = shares @ b.T
+    m = size[:, None]
+    assert math.isclose(TF._odds_sum(size, shares, b), (m * q / (1 - q)).sum(), rel_tol=1e-12)
+    assert TF._cells_over(size, shares, b) == (m * q > 0.01).sum()
+    seen = []
+    monkeypatch.setattr(TF.np, "clip", lambda x, *_: (seen.append(x.size), np.minimum(x, 1))[1])
+    TF._cells_over(size, shares, b)
+    assert sum(seen) < 0.5 * q.size  # most answers need no product
+
+
 def test_fit_recovers_planted_topics(spark, fitted):
     corpus, models = fitted
     model = models[3]
