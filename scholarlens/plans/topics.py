@@ -8,7 +8,7 @@ from scholarlens.functions import columns as C
 from scholarlens.operators import topic_quality as Q
 from scholarlens.operators import topic_tables as T
 from scholarlens.operators.text import prune
-from scholarlens.operators.topic_fit import build_corpus, residual_dispersion, word_blocks
+from scholarlens.operators.topic_fit import build_corpus, residual_dispersion, shard_scores, word_blocks
 from scholarlens.plans.registry import query, r6
 from scholarlens.session import scratch_path, written
 from scholarlens.sources import readers, writers
@@ -540,8 +540,10 @@ def tm_heldout(spark, sf):
     """Score of all words under fixed shares and that of the hidden ones, one row per covariate level."""
     words = v.stored_tok(spark, sf)
     masked = Q.held_out_mask(words, seed=1).select("doc_id", "term", "cnt", "hidden")
-    theta = v.theta(spark, sf, words).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2))))
-    return Q.masked_score(masked, theta, v.beta(spark, sf, words), ("level",)).withColumns({
+    beta = written(v.beta(spark, sf, words).select("level", "topic", "term", F.exp("logbeta").alias("beta")), "beta")
+    scores = shard_scores(masked, v.theta_vectors(spark, sf, words),
+                          {k: beta.where(F.col("level") == k) for k in (1, 2)}, v.TOPICS)
+    return scores.withColumnRenamed("k", "level").withColumns({
         "score": r6("score", "s"), "heldout": r6("heldout", "h")})
 
 
